@@ -48,6 +48,7 @@ INVISIBLE = _range((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180E
 SPACES = "".join(c for c in map(chr, range(0x80, 0x3001)) if unicodedata.category(c) == "Zs")
 _WIDE = _range((0xFF01, 0xFF5E), (0xFFE0, 0xFFE6))
 _JOINED = _range((0xFB00, 0xFB06), (0x132, 0x133))
+_EXPAND = {ord(c): unicodedata.normalize("NFKC", c) for c in _WIDE + _JOINED}
 
 
 class Transducer:
@@ -66,7 +67,7 @@ class Transducer:
         for source, target in letters.items():
             self._add(source, target)
         # Letters with marks, stored as one character or as several.
-        marked = [c for c in map(chr, range(0xC0, 0x530)) if unicodedata.decomposition(c) and unicodedata.combining(c) == 0]
+        marked = [c for c in map(chr, [*range(0xC0, 0x530), *range(0x1E00, 0x1F00)]) if unicodedata.decomposition(c) and unicodedata.combining(c) == 0]
         for c in marked:
             parts = unicodedata.normalize("NFD", c)
             if len(parts) < 2 or any(m not in MARKS for m in parts[1:]):
@@ -100,8 +101,7 @@ class Transducer:
     def _cluster(self, cluster: str) -> str:
         if len(cluster) > 1:
             cluster = cluster[0] + cluster[1:].translate(dict.fromkeys(map(ord, INVISIBLE)))
-        if cluster[0] in _WIDE and len(cluster) > 1:
-            cluster = unicodedata.normalize("NFKC", cluster[0]) + cluster[1:]
+            cluster = unicodedata.normalize("NFC", cluster.translate(_EXPAND))
         out, i = [], 0
         while i < len(cluster):
             for n in range(min(self.longest, len(cluster) - i), 0, -1):
@@ -134,9 +134,7 @@ def _compiled() -> tuple[dict[str, Transducer], re.Pattern, re.Pattern, dict[str
     odd = INVISIBLE + SPACES + _WIDE + _JOINED + "".join(TWINS) + SIGNS + MARKS
     foreign = "".join(c for column in _COLUMNS[1:] for c in column if c != "-")
     letters = [chr(c) for c in [*range(0x41, 0x530), *range(0x1E00, 0x2000)] if chr(c).isalpha()]
-    sure = {s: re.compile(f"[{''.join(c for c in letters if _script(c) == s)}{_range((0xFF21, 0xFF3A), (0xFF41, 0xFF5A)) if s == 'Latin' else ''}]") for s in SCRIPTS}
-    wide_alike = "".join(c for c in _WIDE if unicodedata.normalize("NFKC", c) in CLASS)
-    sure["Latin"] = re.compile(f"(?![{wide_alike}]){sure['Latin'].pattern}")
+    sure = {s: re.compile(f"[{''.join(c for c in letters if _script(c) == s)}]") for s in SCRIPTS}
     word = re.compile(f"(?:[^\\W\\d_]|[{re.escape(MARKS + INVISIBLE)}])+")
     plain_foreign = re.compile(f"[{foreign}Ѐ-ԯͰ-Ͽ]")
     return machines, re.compile(f"[{re.escape(odd)}]"), plain_foreign, sure, word
@@ -144,6 +142,7 @@ def _compiled() -> tuple[dict[str, Transducer], re.Pattern, re.Pattern, dict[str
 
 def _count(sure: dict[str, re.Pattern], text: str) -> str | None:
     """The script with most sure letters, Latin before Cyrillic before Greek; None without any."""
+    text = text.translate(_EXPAND)
     n = {s: len(p.findall(text)) for s, p in sure.items()}
     best = max(n, key=n.get)
     return best if n[best] else None
