@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import forms
+from quire.llm import forms, garble
 from quire.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,8 +30,18 @@ def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
     return both.withColumn("form", forms.consistent_form(F.col("text"))).select("kind", "id", "form", (F.col("form") != F.col("text")).alias("changed"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Elements whose text holds characters of a wrong decoding."""
+    return garble.garbled(table(spark, folder, "elements"), "element_id", "text")
+
+
+def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same elements with their original text as far as it can be had."""
+    return garble.restored(table(spark, folder, "elements"), "element_id", "text")
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_forms": p2_forms}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_restored": p3_restored}
 
 
 def oracle_sql() -> dict[str, str]:
