@@ -36,6 +36,7 @@ BROADCAST_ROWS = 100_000
 
 # What UTF-8 is taken for, and byte encodings that are taken for others.
 UTF8_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "iso8859-15", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8-r")
+CYRILLIC = ("cp1251", "cp866", "koi8-r", "iso8859-5")
 TWICE = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251")
 BYTES_AS = {
     "cp1252": ("mac_roman", "cp437", "cp850", "cp1250"),
@@ -154,7 +155,12 @@ def _evidence(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, Data
     found = tokens(df, id_column, text)
     bad = cut(garbled_tokens(found))
     small = bad.count() <= BROADCAST_ROWS
-    return bad, found.join(F.broadcast(bad) if small else bad, "token")
+    hits = found.join(F.broadcast(bad) if small else bad, "token")
+    # Two or three letters may stand together in a clean word by chance.
+    n, sure = F.length("token"), F.col("kind") == SURE
+    cyrillic = F.col("chain").isin([k for k, c in enumerate(CHAINS) if c[-1] in CYRILLIC])
+    chance = (cyrillic & (n < F.when(F.col("whole"), 3).otherwise(4))) | (~F.col("whole") & (n == 2) & F.col("token").rlike(r"[\x{A0}\x{AD}]"))
+    return bad, hits.filter((F.col("kind") == LOST) | (sure & ~F.coalesce(chance, F.lit(False))) | (~sure & F.col("whole")))
 
 
 def garbled(df: DataFrame, id_column: str, text: str, keep: bool = False) -> DataFrame:
