@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import forms, garble
+from quire.llm import forms, garble, repeats
 from quire.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,18 @@ def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garble.restored(table(spark, folder, "elements"), "element_id", "text")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in which more than a quarter of the words are repeated."""
+    return repeats.repetition(table(spark, folder, "elements")).filter(F.col("share") > 0.25).select("doc")
+
+
+def p4_share(spark: SparkSession, folder: str) -> DataFrame:
+    """Compression band and exact share of repeated words of every document."""
+    return repeats.repetition(table(spark, folder, "elements"), measure_all=True).select("doc", "words", "band", "share")
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_restored": p3_restored}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_share": p4_share}
 
 
 def oracle_sql() -> dict[str, str]:
