@@ -155,18 +155,15 @@ def consistent(text: str | None) -> str | None:
     machines, odd, foreign, sure, word = _compiled()
     if not foreign.search(text):
         return machines["Latin"](text) if odd.search(text) else text
-    main = None
+    words = list(word.finditer(text))
+    scripts = [_count(sure, m[0]) for m in words]
+    # Look-alikes only: capitals are codes, the rest goes with the word before, else the one after.
+    near, later = None, next((s for s in scripts if s), "Latin")
     out, last = [], 0
-    for m in word.finditer(text):
+    for m, script in zip(words, scripts):
         w = m[0]
-        script = _count(sure, w)
-        if script is None:  # look-alikes only: capitals are codes, the rest goes with the text
-            if w.upper() == w:
-                script = "Latin"
-            else:
-                main = main or _count(sure, text) or "Latin"
-                script = main
-        out += [machines["Latin"](text[last : m.start()]), machines[script](w)]
+        near = script or near
+        out += [machines["Latin"](text[last : m.start()]), machines[script or ("Latin" if w.upper() == w else near or later)](w)]
         last = m.end()
     return "".join(out) + machines["Latin"](text[last:])
 

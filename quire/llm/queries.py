@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import forms, garble, repeats
+from quire.llm import forms, garble, languages, repeats
 from quire.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,8 +50,29 @@ def p4_share(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repetition(table(spark, folder, "elements"), measure_all=True).select("doc", "words", "band", "share")
 
 
+def _judged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return languages.judged(table(spark, folder, "elements"), table(spark, folder, "corpus"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Wrong or missing labels with the true language, and elements with a foreign sentence."""
+    labels, segments = _judged(spark, folder)
+    wrong = labels.filter(F.col("label").isNull() | (F.col("label") != F.col("lang")))
+    return wrong.select(F.lit("label").alias("scope"), F.col("corpus_id").alias("item_id"), "lang").unionAll(segments.select(F.lit("segment"), "element_id", "lang"))
+
+
+def p5_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document of the corpus, with confidence, beside its label."""
+    return _judged(spark, folder)[0]
+
+
+def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage in another language than its document's, with confidence."""
+    return _judged(spark, folder)[1]
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_share": p4_share}
+    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_share": p4_share, "p5_found": p5_found, "p5_labels": p5_labels, "p5_segments": p5_segments}
 
 
 def oracle_sql() -> dict[str, str]:
