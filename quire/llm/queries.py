@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import forms, garble, languages, repeats
+from quire.llm import forms, garble, languages, mixing, packing, repeats, sizes
 from quire.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,8 +71,33 @@ def p5_segments(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(spark, folder)[1]
 
 
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return sizes.token_sizes(table(spark, folder, "documents"), "text", ["doc_id", "source"])
+
+
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """The container of every text, or piece of one above the capacity, for each capacity."""
+    return packing.pack(_sizes(spark, folder), table(spark, folder, "pack_specs"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill(p6_packed(spark, folder), table(spark, folder, "pack_specs"))
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text of the mixture, once for each time that it is taken."""
+    return mixing.mix(_sizes(spark, folder), table(spark, folder, "source_weights"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The actual share of each source in the mixture beside its target."""
+    return mixing.mix(_sizes(spark, folder), table(spark, folder, "source_weights"))[1]
+
+
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_share": p4_share, "p5_found": p5_found, "p5_labels": p5_labels, "p5_segments": p5_segments}
+    every = (p2_found, p2_forms, p3_found, p3_restored, p4_found, p4_share, p5_found, p5_labels, p5_segments, p6_packed, p6_fill, p7_mixture, p7_shares)
+    return {q.__name__: q for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
