@@ -46,7 +46,7 @@ def mix(sizes: DataFrame, weights: DataFrame, total: int | None = None, seed: in
     from 1, ``tokens``; one row each time that a text is taken. Report: a row per listed source with
     weight, cap, what there was, budget, what was taken and its share of the whole.
     """
-    sizes = cut(sizes.filter("tokens > 0").select("doc_id", "source", "tokens"))
+    sizes = cut(sizes.select("doc_id", "source", "tokens")).filter("tokens > 0")  # a filter first would count tokens twice
     sources = cut(plan(sizes, weights, total))
     most = sources.agg(F.max("texts")).first()[0] or 0
     wanted = sources.filter("budget > 0 and available > 0").select("source", "epochs", "rest")
