@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import forms, garble, languages, mixing, packing, repeats, sizes
+from quire.llm import forms, garble, languages, mixing, packing, repeats, sizes, stuffing
 from quire.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,8 +95,18 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_sizes(spark, folder), table(spark, folder, "source_weights"))[1]
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents most of whose words lie in link lists, tag lists and menus."""
+    return stuffing.labelled(table(spark, folder, "documents"), "doc_id", "text").filter("spam_share > 0.5").select("doc_id")
+
+
+def p8_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document by the label of their line."""
+    return stuffing.labelled(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
-    every = (p2_found, p2_forms, p3_found, p3_restored, p4_found, p4_share, p5_found, p5_labels, p5_segments, p6_packed, p6_fill, p7_mixture, p7_shares)
+    every = (p2_found, p2_forms, p3_found, p3_restored, p4_found, p4_share, p5_found, p5_labels, p5_segments, p6_packed, p6_fill, p7_mixture, p7_shares, p8_found, p8_labels)
     return {q.__name__: q for q in every}
 
 
