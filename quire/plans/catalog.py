@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import nested
+from quire.plans import nested, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (nested,)
+_MODULES = (nested, structure)
 
 
 def queries() -> dict[str, Query]:
