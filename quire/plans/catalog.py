@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import nested, structure
+from quire.plans import nested, structure, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (nested, structure)
+_MODULES = (nested, structure, texts)
 
 
 def queries() -> dict[str, Query]:
