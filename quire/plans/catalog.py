@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import checks, nested, structure, texts
+from quire.plans import checks, nested, outputs, structure, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (nested, structure, texts, checks)
+_MODULES = (nested, structure, texts, checks, outputs)
 
 
 def queries() -> dict[str, Query]:
