@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +55,6 @@ BYTES_AS = {
 CHAINS = [("utf-8", d) for d in UTF8_AS] + [("utf-8", d, "utf-8", e) for d in TWICE for e in (d, "cp1252", "latin-1")]
 CHAINS = list(dict.fromkeys(CHAINS)) + [(e, d) for e, ds in BYTES_AS.items() for d in ds]
 SURE, STRONG_FORM, WEAK, LOST = 3, 2, 1, 4
-_WORD = r"[^A-Za-z\x{80}-\x{10FFFF}]+"
-_BEYOND = r"[\x{80}-\x{10FFFF}]+"
 _TOKEN = re.compile("[A-Za-z\x80-\U0010ffff]+")
 _RUN = re.compile("[\x80-\U0010ffff]+")
 _LOST = r"[\x{FFFD}\x{80}-\x{84}\x{86}-\x{9F}]"
@@ -124,13 +123,28 @@ def _forms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def tokens(rows: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Distinct tokens of each row: ``token``, and whether it is a whole one or a bare run."""
-    words = F.filter(F.split(F.col(text), _WORD), lambda w: w.rlike(_BEYOND))
-    whole = F.array_distinct(words)
-    runs = F.array_except(F.flatten(F.transform(whole, lambda w: F.regexp_extract_all(w, F.lit(_BEYOND), F.lit(0)))), whole)
-    pair = lambda flag: lambda t: F.struct(t.alias("token"), F.lit(flag).alias("whole"))
-    every = F.concat(F.transform(whole, pair(True)), F.transform(runs, pair(False)))
-    return rows.filter(F.col(text).rlike(_BEYOND)).select(F.col(id_column).alias("_id"), F.explode(every).alias("t")).select("_id", "t.token", "t.whole")
+    """Distinct tokens of each row: ``_id``, ``token``, and whether it is a ``whole`` one or a bare run.
+
+    A scan of the text in Arrow batches; as expressions on arrays it takes about twice the time.
+    """
+    kind = rows.schema[id_column].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, token, whole = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                words = {w for w in _TOKEN.findall(t) if not w.isascii()}
+                runs = {r for w in words for r in _RUN.findall(w)} - words
+                row += [i] * (len(words) + len(runs))
+                token += words
+                token += runs
+                whole += [True] * len(words)
+                whole += [False] * len(runs)
+            ids = batch.column(0).take(pa.array(row, pa.int32()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(token, pa.string()), pa.array(whole, pa.bool_())], ["_id", "token", "whole"])
+
+    beyond = rows.filter(F.col(text).rlike(r"[^\x{0}-\x{7F}]")).select(id_column, text)
+    return beyond.mapInArrow(scan, f"_id {kind}, token string, whole boolean")
 
 
 def garbled_tokens(found: DataFrame) -> DataFrame:
