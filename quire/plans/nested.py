@@ -26,4 +26,19 @@ QUERIES = {
     "p1_cells": _flat("cell"),
     "p1_regions": _flat("region"),
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "p1_found": """with d as (select record_id, coalesce(cast(payload as json)->'pages', cast(payload as json)->'document'->'pages') as pages from merged_records where json_valid(payload)),
+p0 as (select record_id, e.key, e.value as page from d, lateral json_each(d.pages) e where json_type(e.value) <> 'NULL'),
+p as (select record_id, row_number() over () as pid, coalesce(try_cast(page->>'page_number' as int), try_cast(page->>'pageNumber' as int), try_cast(key as int)) as page_no, page from p0),
+e as (select record_id, page_no, row_number() over () as eid, cast(x.key as int) + 1 as item_no, x.value as el from p, lateral json_each(case when json_type(page->'elements') = 'ARRAY' then page->'elements' else '[]' end) x where json_type(x.value) <> 'NULL'),
+g0 as (select record_id, page_no, coalesce(page->'excluded_regions', page->'excludedRegions') as g from p),
+g as (select record_id, page_no, cast(x.key as int) + 1 as item_no from g0, lateral json_each(case json_type(g) when 'ARRAY' then g when 'OBJECT' then json_array(g) else '[]' end) x where json_type(x.value) <> 'NULL'),
+t0 as (select record_id, page_no, item_no, eid, case json_type(el->'rows') when 'VARCHAR' then cast(el->>'rows' as json) when 'ARRAY' then el->'rows' else '[]' end as rows from e),
+t as (select *, not exists (select 1 from json_each(rows) y where json_type(y.value) in ('ARRAY', 'OBJECT')) as flat from t0),
+r as (select record_id, page_no, item_no, cast(x.key as int) + 1 as row_no, x.value as r from t, lateral json_each(case when flat then json_array(rows) else rows end) x),
+c as (select record_id, page_no, item_no, row_no, cast(x.key as int) + 1 as cell_no from r, lateral json_each(case json_type(r) when 'ARRAY' then r when 'OBJECT' then r->'cells' else '[]' end) x where json_type(x.value) <> 'NULL')
+select record_id, page_no, 'page' as kind, 0 as item_no, 0 as row_no, 0 as cell_no from p
+union all select record_id, page_no, 'element', item_no, 0, 0 from e
+union all select record_id, page_no, 'region', item_no, 0, 0 from g
+union all select record_id, page_no, 'cell', item_no, row_no, cell_no from c""",
+}
