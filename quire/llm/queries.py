@@ -1,4 +1,4 @@
-"""Queries of the training-text operators. None has SQL: see tests/llm for what they are tested on."""
+"""Queries of the training-text operators. Most have no SQL: see tests/llm for what they are tested on."""
 
 from __future__ import annotations
 
@@ -110,5 +110,15 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in every}
 
 
+#: p4_found without bands: every run of twelve words of every document.
+_P4 = """with l as (select * from (select *, row_number() over (partition by doc, page_number, seq order by extracted_at desc nulls last, element_id desc) as k from elements where doc is not null and text is not null) where k = 1),
+w as (select doc, page_number, seq, unnest(regexp_extract_all(lower(text), '\\p{L}+')) as word, generate_subscripts(regexp_extract_all(lower(text), '\\p{L}+'), 1) as i from l),
+n as (select doc, word, row_number() over (partition by doc order by page_number, seq, i) as pos from w),
+g as (select doc, pos, string_agg(word, ' ') over r as run, count(*) over r as c from n window r as (partition by doc order by pos rows between current row and 11 following)),
+f as (select doc, pos, c = 12 and pos > min(case when c = 12 then pos end) over (partition by doc, run) as again from g),
+m as (select doc, max(case when again then pos end) over (partition by doc order by pos rows between 11 preceding and current row) is not null as marked from f)
+select doc from m group by doc having count(*) filter (where marked) > 0.25 * count(*)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_found": _P4}

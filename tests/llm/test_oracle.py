@@ -1,0 +1,19 @@
+"""The queries that have SQL give the rows of their SQL, and all of them run."""
+
+import pytest
+from oracle import compare, connect
+
+from quire.llm import queries
+
+FOLDER = "/root/testdata/sf0.001"
+QUERIES, SQL = queries.queries(), queries.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_rows(spark, name):
+    assert compare(spark, connect(FOLDER), QUERIES[name], SQL[name], FOLDER) in (None, "no rows")
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_runs_on_the_smallest_tables(spark, name):
+    assert QUERIES[name](spark, FOLDER).collect() is not None
