@@ -49,12 +49,13 @@ def markdown(depth: str) -> Column:
 def page_markdown(elements: DataFrame) -> DataFrame:
     """Markdown of each page: ``doc``, ``page_number``, ``markdown``; items of one list run without blank lines."""
     from quire.operators.elements import list_depths
+    from quire.operators.scan import page_keys
 
-    within = Window.partitionBy("doc", "page_number").orderBy("seq")
+    within = Window.partitionBy(*page_keys(elements)).orderBy("seq")
     df = list_depths(elements).withColumn("_next", F.lead("type").over(within))
     gap = F.when((F.col("type") == "list_item") & (F.col("_next") == "list_item"), "\n").otherwise("\n\n")
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat(markdown("depth"), gap).alias("m")))), lambda x: x["m"])
-    return df.groupBy("doc", "page_number").agg(F.concat(F.trim(F.array_join(blocks, ""), F.lit("\n")), F.lit("\n")).alias("markdown"))
+    return df.groupBy(*page_keys(elements)).agg(F.concat(F.trim(F.array_join(blocks, ""), F.lit("\n")), F.lit("\n")).alias("markdown")).drop("_block")
 
 
 def json_line(number: Column, path: Column) -> Column:

@@ -10,26 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.scan import position, scan
+from quire.operators.scan import page_keys, position, scan, with_block
 
 LEVELS = 6
 #: Tiers from the best.
 TIERS = ("vision", "ocr", "text")
 
 
-def latest(elements: DataFrame) -> DataFrame:
-    """Of each place (doc, page, seq) the row extracted last; of equal times the greatest id."""
-    order = Window.partitionBy("doc", "page_number", "seq").orderBy(F.col("extracted_at").desc_nulls_last(), F.col("element_id").desc())
-    return elements.filter(F.col("doc").isNotNull()).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+def latest(elements: DataFrame, spread: bool = False) -> DataFrame:
+    """Of each place (doc, page, seq) the row extracted last; of equal times the greatest id.
+
+    With ``spread`` the rows come spread by document and block of pages, named in ``_block``: what
+    runs over pages, blocks or documents then moves them no more.
+    """
+    known = with_block(elements.filter(F.col("doc").isNotNull()))
+    if spread:
+        known = known.repartition("doc", "_block")
+    order = Window.partitionBy(*page_keys(known), "seq").orderBy(F.col("extracted_at").desc_nulls_last(), F.col("element_id").desc())
+    out = known.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return out if spread else out.drop("_block")
 
 
 def best_tier(elements: DataFrame) -> DataFrame:
     """Of each page the body elements of its best tier, and its images whatever their tier."""
+    return elements.withColumn("_kept", _is_best(elements)).filter("_kept").drop("_kept")
+
+
+def _is_best(elements: DataFrame) -> Column:
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier")), F.lit(9))
     rank = F.when(rank == 0, 9).otherwise(rank)
-    body = F.col("type") != "image"
-    best = F.min(F.when(body, rank)).over(Window.partitionBy("doc", "page_number"))
-    return elements.withColumn("_best", best).filter(~body | (rank == F.col("_best"))).drop("_best")
+    body = F.coalesce(F.col("type") != "image", F.lit(True))
+    return ~body | (rank == F.min(F.when(body, rank)).over(Window.partitionBy(*page_keys(elements))))
+
+
+def mark_best(elements: DataFrame) -> DataFrame:
+    """Add ``best``: whether :func:`best_tier` keeps the row."""
+    return elements.withColumn("best", _is_best(elements))
 
 
 def _level() -> Column:

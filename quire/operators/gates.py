@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry
 from quire.functions.text import coverage_words, is_caption, number_depth, section_number
+from quire.operators.scan import page_keys
 
 CONFIDENCE, LARGE, MIN_MISSING, MAX_MISSING = 0.5, 0.2, 3, 0.05
 # Reasons for which a region may well be left out.
@@ -54,27 +55,45 @@ def number_levels(elements: DataFrame) -> DataFrame:
     return elements.filter(F.col("type") == "heading").select("element_id", "doc", "page_number", "level", depth.alias("depth")).filter("depth <= 6 and (level is null or level <> depth)")
 
 
+def _words(elements: DataFrame) -> Column:
+    cells = F.array_join(F.flatten("rows"), " ")
+    return F.explode(coverage_words(F.concat_ws(" ", "text", "caption", "figure_text", cells)))
+
+
 def page_words(elements: DataFrame) -> DataFrame:
     """Words of each page with their counts: text, captions, figure texts and cells."""
-    cells = F.array_join(F.flatten("rows"), " ")
-    text = F.concat_ws(" ", "text", "caption", "figure_text", cells)
-    words = elements.select("doc", "page_number", F.explode(coverage_words(text)).alias("word"))
-    return words.groupBy("doc", "page_number", "word").agg(F.count(F.lit(1)).alias("n"))
+    keys = page_keys(elements)
+    return elements.select(*keys, _words(elements).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n")).drop("_block")
+
+
+def kept_words(elements: DataFrame, kept: str) -> DataFrame:
+    """Words of each page, ``src``, and how many of them are in rows that ``kept`` names, ``out``."""
+    keys = page_keys(elements)
+    return elements.select(*keys, kept, _words(elements).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("src"), F.count_if(kept).alias("out"))
 
 
 def coverage(source: DataFrame, output: DataFrame) -> DataFrame:
+    """:func:`uncovered` for counts by (doc, page, word) of a source and an output."""
+    zero = F.lit(0).cast("bigint")
+    both = source.select("doc", "page_number", "word", F.col("n").alias("src"), zero.alias("out")).unionAll(output.select("doc", "page_number", "word", zero, "n"))
+    return uncovered(both.groupBy("doc", "page_number", "word").agg(F.sum("src").alias("src"), F.sum("out").alias("out")))
+
+
+def uncovered(both: DataFrame) -> DataFrame:
     """Pages that lack words of their source: ``doc``, ``page_number``, ``missing``, ``total``.
 
-    Both sides are counts by (doc, page, word). A surplus of a word on a neighbouring page, beyond
-    that page's own source, makes up for it.
+    ``both`` counts each word of each page in the source and in the output. A surplus of a word on a
+    neighbouring page, beyond that page's own source, makes up for it. Only words that lack or
+    abound meet in a join.
     """
-    both = source.withColumnRenamed("n", "src").join(output.withColumnRenamed("n", "out"), ["doc", "page_number", "word"], "full").fillna(0, ["src", "out"])
-    spare = both.select("doc", "word", F.greatest(F.col("out") - F.col("src"), F.lit(0)).alias("spare"), "page_number").filter("spare > 0")
-    lent = spare.select("doc", "word", "spare", F.explode(F.array(F.col("page_number") - 1, F.col("page_number") + 1)).alias("page_number")).groupBy("doc", "page_number", "word").agg(F.sum("spare").alias("lent"))
-    lack = both.filter("src > 0").join(lent, ["doc", "page_number", "word"], "left")
-    left = F.greatest(F.col("src") - F.col("out") - F.coalesce("lent", F.lit(0)), F.lit(0))
-    pages = lack.groupBy("doc", "page_number").agg(F.sum(left).alias("missing"), F.sum("src").alias("total"))
-    return pages.filter((F.col("missing") >= MIN_MISSING) & (F.col("missing") >= MAX_MISSING * F.col("total")))
+    keys = page_keys(both)
+    totals = both.groupBy(*keys).agg(F.sum("src").alias("total"), F.sum(F.greatest(F.col("src") - F.col("out"), F.lit(0))).alias("lacking")).filter((F.col("lacking") >= MIN_MISSING) & (F.col("lacking") >= MAX_MISSING * F.col("total")))
+    spare = both.filter("out > src").select("doc", "word", (F.col("out") - F.col("src")).alias("spare"), F.explode(F.array(F.col("page_number") - 1, F.col("page_number") + 1)).alias("page_number"))
+    lent = spare.groupBy("doc", "page_number", "word").agg(F.sum("spare").alias("lent"))
+    lack = both.filter("src > out").select("doc", "page_number", "word", (F.col("src") - F.col("out")).alias("lack")).join(lent, ["doc", "page_number", "word"], "left")
+    missing = lack.groupBy("doc", "page_number").agg(F.sum(F.greatest(F.col("lack") - F.coalesce("lent", F.lit(0)), F.lit(0))).alias("missing"))
+    pages = totals.select("doc", "page_number", "total").join(missing, ["doc", "page_number"])
+    return pages.filter((F.col("missing") >= MIN_MISSING) & (F.col("missing") >= MAX_MISSING * F.col("total"))).select("doc", "page_number", "missing", "total")
 
 
 def ragged_tables(elements: DataFrame) -> DataFrame:

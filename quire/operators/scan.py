@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 BLOCK_PAGES = 64
 
 
+def with_block(df: DataFrame) -> DataFrame:
+    """Add ``_block``, the number of the row's block of pages, if it is not there."""
+    return df if "_block" in df.columns else df.withColumn("_block", F.floor(F.coalesce("page_number", F.lit(0)) / BLOCK_PAGES))
+
+
+def page_keys(df: DataFrame) -> list[str]:
+    """Columns that name a page; with its block where known, so that rows spread by block are not moved again."""
+    return ["doc", "_block", "page_number"] if "_block" in df.columns else ["doc", "page_number"]
+
+
 def position() -> Column:
     """Place of a row in its document, as one number."""
     return F.shiftleft(F.coalesce("page_number", F.lit(0)).cast("bigint"), 32) + F.coalesce("seq", F.lit(0))
@@ -27,7 +37,7 @@ def scan(df: DataFrame, before: dict[str, Column] | None = None, sums: dict[str,
     values = {f"_v{i}": c for i, c in enumerate([*before.values(), *sums.values()])}
     last = dict(zip(before, values))
     total = dict(zip(sums, list(values)[len(before) :]))
-    rows = df.withColumns(values).withColumn("_block", F.floor(F.coalesce("page_number", F.lit(0)) / BLOCK_PAGES))
+    rows = with_block(df.withColumns(values))
     order = [position(), F.col("element_id")]
     inner = Window.partitionBy("doc", "_block").orderBy(*order)
     past = inner.rowsBetween(Window.unboundedPreceding, -1)
@@ -43,4 +53,4 @@ def scan(df: DataFrame, before: dict[str, Column] | None = None, sums: dict[str,
     out = out.withColumns({f"_w{v}": F.sum(v).over(inner) for v in total.values()}).join(carried, ["doc", "_block"], "left")
     out = out.withColumns({n: F.coalesce(f"_w{v}", f"_c{v}")["v"] for n, v in last.items()})
     out = out.withColumns({n: F.coalesce(f"_w{v}", F.lit(0)) + F.coalesce(f"_c{v}", F.lit(0)) for n, v in total.items()})
-    return out.drop("_block", *values, *[f"_w{v}" for v in values], *[f"_c{v}" for v in values])
+    return out.drop(*([] if "_block" in df.columns else ["_block"]), *values, *[f"_w{v}" for v in values], *[f"_c{v}" for v in values])

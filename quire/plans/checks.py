@@ -96,8 +96,8 @@ def number_levels(spark: SparkSession, folder: str) -> DataFrame:
 
 def coverage_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Pages whose body on its best tier lacks words that were extracted there."""
-    current = _now(spark, folder)
-    return gates.coverage(gates.page_words(current), gates.page_words(ops.best_tier(current)))
+    current = ops.mark_best(ops.latest(table(spark, folder, "elements"), spread=True))
+    return gates.uncovered(gates.kept_words(current, "best"))
 
 
 def ragged_tables(spark: SparkSession, folder: str) -> DataFrame:

@@ -18,7 +18,7 @@ from quire.streaming import elements as streaming
 
 
 def _now(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.latest(table(spark, folder, "elements"))
+    return ops.latest(table(spark, folder, "elements"), spread=True)
 
 
 def html_blocks(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from quire.sources.tables import table
 
 
 def _current(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.latest(table(spark, folder, "elements"))
+    return ops.latest(table(spark, folder, "elements"), spread=True)
 
 
 def latest_elements(spark: SparkSession, folder: str) -> DataFrame:

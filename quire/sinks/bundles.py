@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quire.functions import render
 from quire.functions.text import first_sentence, heading_slug, slug, split_number, two_digits
 from quire.operators.elements import list_depths, open_headings, sections
+from quire.operators.scan import page_keys
 
 REQIF = "http://www.omg.org/spec/ReqIF/20110401/reqif.xsd"
 
@@ -39,7 +40,7 @@ def markdown_files(elements: DataFrame) -> DataFrame:
 def jsonl_lines(elements: DataFrame) -> DataFrame:
     """One JSON line an element: ``doc``, ``page_number``, ``seq``, ``line``; furniture images are left out."""
     body = elements.filter(~F.coalesce(F.col("kind") == "furniture", F.lit(False)))
-    number = F.row_number().over(Window.partitionBy("doc", "page_number").orderBy("seq", "element_id"))
+    number = F.row_number().over(Window.partitionBy(*page_keys(elements)).orderBy("seq", "element_id"))
     df = open_headings(body).withColumn("_n", number)
     return df.select("doc", "page_number", "seq", render.json_line(F.col("_n").cast("string"), F.col("path")).alias("line"))
 
@@ -52,12 +53,12 @@ def jsonl_files(elements: DataFrame) -> DataFrame:
 
 def page_html(elements: DataFrame) -> DataFrame:
     """``doc``, ``page_number``, ``html``: each page's elements, runs of list items in one list."""
-    within = Window.partitionBy("doc", "page_number").orderBy("seq", "element_id")
+    within = Window.partitionBy(*page_keys(elements)).orderBy("seq", "element_id")
     item = F.col("type") == "list_item"
     df = list_depths(elements).withColumns({"_a": F.coalesce(F.lag("type").over(within), F.lit("")), "_z": F.coalesce(F.lead("type").over(within), F.lit(""))})
     one = F.concat(F.when(item & (F.col("_a") != "list_item"), "<ul>").otherwise(""), render.html("depth"), F.when(item & (F.col("_z") != "list_item"), "</ul>").otherwise(""))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "element_id", one.alias("h")))), lambda x: x["h"])
-    return df.groupBy("doc", "page_number").agg(F.array_join(parts, "\n").alias("html"))
+    return df.groupBy(*page_keys(elements)).agg(F.array_join(parts, "\n").alias("html")).drop("_block")
 
 
 def html_files(elements: DataFrame) -> DataFrame:
