@@ -33,18 +33,43 @@ def plan(sizes: DataFrame, weights: DataFrame, total: int | None = None) -> Data
         total = have.agg(F.sum("available")).first()[0] or 0
     wanted = weights.filter(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0))).alias("target_weight"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats"))
     both = wanted.join(have, "source", "left").fillna(0, ["texts", "available"])
+    both = both.withColumn("total", F.lit(total).cast("bigint"))
     both = both.withColumn("budget", F.round(F.col("target_weight") * F.lit(total)).cast("bigint"))
     whole = F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(0)
     both = both.withColumn("epochs", F.least(whole, F.col("max_repeats").cast("bigint")))
     return both.withColumn("rest", F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("available")).otherwise(0))
 
 
+def fitting_total(sizes: DataFrame, weights: DataFrame, missing: float = 0.0) -> int:
+    """The largest total of which sources with texts lack no more than the share ``missing`` for their caps.
+
+    Sources without texts can't be met at any total and don't count. Reads one row per listed source.
+    """
+    rows = [(r.target_weight, r.available * r.max_repeats) for r in plan(sizes.filter("tokens > 0"), weights, 0).filter("target_weight > 0 and available > 0").collect()]
+
+    def lacking(total: float) -> float:
+        return sum(max(0.0, w * total - most) for w, most in rows) / total
+
+    if not rows:
+        return 0
+    low, high = 0, max(int(most / w) for w, most in rows) + 1
+    if missing >= sum(w for w, _ in rows):
+        raise ValueError("all may be missing")
+    while lacking(high) <= missing:
+        high *= 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if lacking(middle) <= missing else (low, middle)
+    return low
+
+
 def mix(sizes: DataFrame, weights: DataFrame, total: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The mixture and its report.
 
     ``sizes`` has ``doc_id``, ``source`` and ``tokens``. Mixture: ``source``, ``doc_id``, ``epoch``
     from 1, ``tokens``; one row each time that a text is taken. Report: a row per listed source with
-    weight, cap, what there was, budget, what was taken and its share of the whole.
+    weight, cap, what there was, budget, what was taken, its share of what all sources gave and of the
+    total asked for.
     """
     sizes = cut(sizes.select("doc_id", "source", "tokens")).filter("tokens > 0")  # a filter first would count tokens twice
     sources = cut(plan(sizes, weights, total))
@@ -60,4 +85,4 @@ def mix(sizes: DataFrame, weights: DataFrame, total: int | None = None, seed: in
     whole = report.select(F.sum("taken").alias("_whole"))
     report = report.crossJoin(F.broadcast(whole))  # one row
     share = F.when(F.col("_whole") > 0, F.col("taken") / F.col("_whole")).otherwise(0.0)
-    return mixture, report.select("source", "target_weight", "max_repeats", "texts", "available", "budget", "taken_texts", "taken", "most_repeats", share.alias("actual_share"), F.greatest(F.col("budget") - F.col("taken"), F.lit(0)).alias("missing"))
+    return mixture, report.select("source", "target_weight", "max_repeats", "texts", "available", "budget", "taken_texts", "taken", "most_repeats", share.alias("actual_share"), F.when(F.col("total") > 0, F.col("taken") / F.col("total")).otherwise(0.0).alias("share_of_total"), F.greatest(F.col("budget") - F.col("taken"), F.lit(0)).alias("missing"))

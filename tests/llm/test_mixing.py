@@ -1,6 +1,6 @@
 from collections import Counter
 
-from quire.llm.mixing import mix
+from quire.llm.mixing import fitting_total, mix
 from quire.llm.sizes import FOLDER, VOCABULARY, count_tokens, token_sizes
 
 W = "source string, target_weight double, max_repeats int"
@@ -31,6 +31,18 @@ def test_shares_caps_and_repeats(spark):
     assert rep["absent"].missing == 1000 and rep["tiny"].missing == 1000 - 36 and rep["tiny"].most_repeats == 3
 
 
+def test_largest_total_that_fits(spark):
+    sizes = spark.createDataFrame([(i, "a", 10, "") for i in range(100)] + [(200 + i, "b", 10, "") for i in range(10)], S)
+    weights = spark.createDataFrame([("a", 0.6, 1), ("b", 0.3, 2), ("none", 0.1, 1)], W)
+    assert fitting_total(sizes, weights) == 666
+    loose = fitting_total(sizes, weights, 0.1)
+    assert loose == 1000
+    _, report = mix(sizes, weights, 666)
+    got = {r.source: (r.share_of_total, r.missing) for r in report.collect()}
+    assert abs(got["a"][0] - 0.6) < 0.01 and abs(got["b"][0] - 0.3) < 0.01 and got["none"] == (0.0, 67)
+    assert fitting_total(sizes.limit(0), weights) == 0
+
+
 def test_nothing(spark):
     empty = spark.createDataFrame([], S)
     mixture, report = mix(empty, spark.createDataFrame([("a", 1.0, None)], W))
