@@ -12,7 +12,8 @@ least :data:`STRONG` characters, whose word is :data:`RATIO` times as frequent a
 the same for shorter tokens; they count where two of one chain meet, or where the token's other rows
 mostly have sure or strong evidence. So ``ñ`` on a key stays, although it is a garbled ``±``.
 
-Null and empty texts are clean. Rows are judged one by one; repeated rows stay repeated.
+Null and empty texts are clean, and rows without an id are left out. Rows are judged one by one;
+repeated rows stay repeated.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ are not taken.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.ranks import ranges_for, running
@@ -82,7 +82,7 @@ def mix(sizes: DataFrame, weights: DataFrame, total: int | None = None, seed: in
     mixture = taken.select("source", "doc_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("epochs"))).alias("epoch"), "tokens")
     got = taken.groupBy("source").agg(F.sum("epochs").alias("taken_texts"), F.sum(F.col("tokens") * F.col("epochs")).alias("taken"), F.max("epochs").alias("most_repeats"))
     report = sources.join(got, "source", "left").fillna(0, ["taken_texts", "taken", "most_repeats"])
-    whole = report.select(F.sum("taken").alias("_whole"))
-    report = report.crossJoin(F.broadcast(whole))  # one row
+    listed = Window.partitionBy(F.lit(1))  # the listed sources, a few rows
+    report = report.withColumn("_whole", F.sum("taken").over(listed))
     share = F.when(F.col("_whole") > 0, F.col("taken") / F.col("_whole")).otherwise(0.0)
     return mixture, report.select("source", "target_weight", "max_repeats", "texts", "available", "budget", "taken_texts", "taken", "most_repeats", share.alias("actual_share"), F.when(F.col("total") > 0, F.col("taken") / F.col("total")).otherwise(0.0).alias("share_of_total"), F.greatest(F.col("budget") - F.col("taken"), F.lit(0)).alias("missing"))

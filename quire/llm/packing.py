@@ -174,5 +174,5 @@ def fill(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """Of each capacity the number of containers, items and tokens, and the share of space used."""
     each = packed.groupBy("spec_id", "container").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.sum((F.col("piece") > 0).cast("int")).alias("p"))
     total = each.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("items"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
-    both = total.join(F.broadcast(specs.select("spec_id", "capacity_tokens").distinct()), "spec_id")
+    both = total.join(specs.select("spec_id", "capacity_tokens").distinct(), "spec_id")
     return both.select("spec_id", "capacity_tokens", "containers", "items", "tokens", "fullest", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("used"))
