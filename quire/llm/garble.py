@@ -8,9 +8,15 @@ garbled letter is found in a word that never occurs clean.
 
 Evidence is of three kinds. *Sure*: forms of chains through UTF-8, which no clean word has by chance,
 replacement characters and C1 controls. *Strong*: forms of one byte encoding read as another, of at
-least :data:`STRONG` characters, whose word is :data:`RATIO` times as frequent as the token. *Weak*:
-the same for shorter tokens; they count where two of one chain meet, or where the token's other rows
-mostly have sure or strong evidence. So ``ñ`` on a key stays, although it is a garbled ``±``.
+least :data:`STRONG` characters, that bear more signs of garbling than their word (a symbol between
+letters, a capital after a small letter, two scripts in a word) or whose word is :data:`RATIO` times as
+frequent. *Weak*: the same for shorter tokens; they count where two of one chain meet, or where the
+token's other rows mostly have sure or strong evidence. So ``ñ`` on a key stays, although it is a
+garbled ``±``.
+
+The ratio settles lone tokens only. All matches of byte encodings also count together by row: where one
+chain turns several different tokens of a row into known words, the signs and the frequencies of all
+of them say which side is garbled. A form with fewer signs than its word is never taken for garbled.
 
 Null and empty texts are clean, and rows without an id are left out. Rows are judged one by one;
 repeated rows stay repeated.
@@ -29,7 +35,7 @@ from pyspark.sql import functions as F
 
 from quire.session import cut
 
-#: A word must be this many times as frequent as its garbled form, for chains of byte encodings.
+#: A word must be this many times as frequent as its garbled form, for lone tokens without signs.
 RATIO = 10
 #: Characters from which such a form alone is evidence.
 STRONG = 3
@@ -55,9 +61,13 @@ BYTES_AS = {
 }
 CHAINS = [("utf-8", d) for d in UTF8_AS] + [("utf-8", d, "utf-8", e) for d in TWICE for e in (d, "cp1252", "latin-1")]
 CHAINS = list(dict.fromkeys(CHAINS)) + [(e, d) for e, ds in BYTES_AS.items() for d in ds]
-SURE, STRONG_FORM, WEAK, LOST = 3, 2, 1, 4
+SURE, STRONG_FORM, WEAK, LOST, BY_ROW = 3, 2, 1, 4, 0
 _TOKEN = re.compile("[A-Za-z\x80-\U0010ffff]+")
 _RUN = re.compile("[\x80-\U0010ffff]+")
+_SIGN = r"(?<=\p{L})[\p{S}\p{No}\p{Lm}ªº¿¡§¶†‡‰]+(?=\p{L})|(?<=[\p{Ll}&&[^a-z]])\p{Lu}|(?<=[a-z])[\p{Lu}&&[^A-Z]]"
+_SIGN += r"|(?<=\p{IsLatin})[\p{IsGreek}\p{IsCyrillic}]|(?<=\p{IsGreek})[\p{IsLatin}\p{IsCyrillic}]|(?<=\p{IsCyrillic})[\p{IsLatin}\p{IsGreek}]"
+#: What a token with more signs than its word weighs, as the logarithm of a ratio.
+_SIGN_WEIGHT = 5.0
 _LOST = r"[\x{FFFD}\x{80}-\x{84}\x{86}-\x{9F}]"
 
 
@@ -108,19 +118,20 @@ def restore(word: str, chain: tuple[str, ...]) -> str | None:
 
 def _forms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        form, word, n, chain = [], [], [], []
-        for w, rows, whole in zip(part["token"], part["n"], part["whole"]):
-            seen: dict[str, int] = {}
+        form, word, n, signs, chain = [], [], [], [], []
+        for w, rows, sign, whole in zip(part["token"], part["n"], part["signs"], part["whole"]):
+            seen: dict[tuple[str, int], int] = {}  # the first chain through UTF-8, every one of byte encodings
             for k, c in enumerate(CHAINS):
                 if c[0] == "utf-8" or whole:
                     g = garble(w, c)
                     if g is not None and g != w:
-                        seen.setdefault(g, k)
-            form += seen.keys()
+                        seen.setdefault((g, -1 if c[0] == "utf-8" else k), k)
+            form += [g for g, _ in seen]
             chain += seen.values()
             word += [w] * len(seen)
             n += [rows] * len(seen)
-        yield pd.DataFrame({"token": form, "word": word, "word_n": n, "chain": chain})
+            signs += [sign] * len(seen)
+        yield pd.DataFrame({"token": form, "word": word, "word_n": n, "word_signs": signs, "chain": chain})
 
 
 def tokens(rows: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -148,34 +159,49 @@ def tokens(rows: DataFrame, id_column: str, text: str) -> DataFrame:
     return beyond.mapInArrow(scan, f"_id {kind}, token string, whole boolean")
 
 
-def garbled_tokens(found: DataFrame) -> DataFrame:
-    """The corpus tokens that are garbled forms: ``token``, ``word``, ``chain`` and ``kind``.
+def garbled_tokens(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The corpus tokens that are garbled forms: ``token``, ``word``, ``chain`` and ``kind``; and all pairs to be settled by row.
 
-    ``kind`` is SURE, STRONG_FORM, WEAK or, for tokens with lost characters and no word, LOST.
+    ``kind`` is SURE, STRONG_FORM, WEAK or, for tokens with lost characters and no word, LOST. The pairs
+    are those of byte encodings with letters on both sides: ``token``, ``chain``, ``word`` and ``weight``.
     """
-    counts = cut(found.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole")))
-    forms = counts.filter(~F.col("token").rlike(_LOST)).mapInPandas(_forms, "token string, word string, word_n bigint, chain int")
+    counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"))
+    counts = cut(counts.withColumn("signs", F.regexp_count("token", F.lit(_SIGN))))
+    forms = counts.filter(~F.col("token").rlike(_LOST)).mapInPandas(_forms, "token string, word string, word_n bigint, word_signs int, chain int")
     through_utf8 = F.col("chain") < sum(c[0] == "utf-8" for c in CHAINS)
-    often = F.col("word_n") >= RATIO * F.col("n")
-    kind = F.when(through_utf8 & (F.length("token") > 1), SURE).when(~F.col("whole"), None).when(often & (F.length("token") >= STRONG), STRONG_FORM).when(often, WEAK)
-    met = forms.join(counts, "token").withColumn("kind", kind).filter(F.col("kind").isNotNull())
-    best = met.groupBy("token").agg(F.max_by(F.struct("word", "chain", "kind"), F.struct("kind", "word_n", -F.col("chain"), "word")).alias("b"))
+    more, fewer = F.col("signs") > F.col("word_signs"), F.col("signs") < F.col("word_signs")
+    more &= ~F.col("word").rlike(r"\p{Z}")
+    often = more | (F.col("word_n") >= RATIO * F.col("n"))
+    kind = F.when(through_utf8 & (F.length("token") > 1), SURE).when(~F.col("whole") | fewer, None).when(often & (F.length("token") >= STRONG), STRONG_FORM).when(often, WEAK)
+    by_row = ~through_utf8 & F.col("whole") & ~fewer & (more | (F.col("token").rlike(r"\p{L}") & F.col("word").rlike(r"\p{L}")))
+    weight = F.when(more, _SIGN_WEIGHT).otherwise(F.log(F.col("word_n") / F.col("n")))
+    met = cut(forms.join(counts, "token").withColumns({"kind": kind, "by_row": by_row, "weight": weight}).filter(F.col("kind").isNotNull() | F.col("by_row")))
+    best = met.filter(F.col("kind").isNotNull()).groupBy("token").agg(F.max_by(F.struct("word", "chain", "kind"), F.struct("kind", "word_n", -F.col("chain"), "word")).alias("b"))
     known = best.select("token", "b.*")
     lost = counts.filter(F.col("token").rlike(_LOST)).join(best, "token", "left_anti")
-    return known.unionByName(lost.select("token", F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("chain"), F.lit(LOST).alias("kind")))
+    bad = known.unionByName(lost.select("token", F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("chain"), F.lit(LOST).alias("kind")))
+    pairs = met.filter("by_row").groupBy("token", "chain").agg(F.max_by(F.struct("word", "weight"), F.struct("weight", "word")).alias("b"))
+    return bad, pairs.select("token", "chain", "b.*")
+
+
+def _met(found: DataFrame, table: DataFrame) -> DataFrame:
+    return found.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, "token")
 
 
-def _evidence(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The garbled tokens, and each row's tokens among them."""
+def _evidence(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each row's garbled tokens, its pairs to be settled by row, and the chains that these settle: ``_id``, ``chain``."""
     found = tokens(df, id_column, text)
-    bad = cut(garbled_tokens(found))
-    small = bad.count() <= BROADCAST_ROWS
-    hits = found.join(F.broadcast(bad) if small else bad, "token")
+    bad, pairs = (cut(t) for t in garbled_tokens(found))
+    hits = _met(found, bad)
+    paired = _met(found.filter("whole"), pairs)
+    mark = F.xxhash64("token")
+    votes = paired.groupBy("_id", "chain").agg(F.min(mark).alias("a"), F.max(mark).alias("b"), F.sum("weight").alias("weight"))
+    settled = cut(votes.filter("a < b and weight > 0").select("_id", "chain"))
     # Two or three letters may stand together in a clean word by chance.
     n, sure = F.length("token"), F.col("kind") == SURE
     cyrillic = F.col("chain").isin([k for k, c in enumerate(CHAINS) if c[-1] in CYRILLIC])
     chance = (cyrillic & (n < F.when(F.col("whole"), 3).otherwise(4))) | (~F.col("whole") & (n == 2) & F.col("token").rlike(r"[\x{A0}\x{AD}]"))
-    return bad, hits.filter((F.col("kind") == LOST) | (sure & ~F.coalesce(chance, F.lit(False))) | (~sure & F.col("whole")))
+    return hits.filter((F.col("kind") == LOST) | (sure & ~F.coalesce(chance, F.lit(False))) | (~sure & F.col("whole"))), paired, settled
 
 
 def garbled(df: DataFrame, id_column: str, text: str, keep: bool = False) -> DataFrame:
@@ -183,11 +209,11 @@ def garbled(df: DataFrame, id_column: str, text: str, keep: bool = False) -> Dat
 
     ``repairs`` is an array of (token, word, chain, kind) with the garbled tokens of the row.
     """
-    _, hits = _evidence(df, id_column, text)
+    hits, paired, settled = _evidence(df, id_column, text)
     hits = cut(hits.select("_id", "token", "word", "chain", "kind").distinct())
     weak, solid = F.col("kind") == WEAK, F.col("kind") != WEAK
     chains = hits.filter(weak).groupBy("_id", "chain").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id").distinct()
-    sure = hits.filter(solid).select("_id").union(chains).distinct()
+    sure = hits.filter(solid).select("_id").union(chains).union(settled.select("_id")).distinct()
     rated = hits.filter(weak).join(sure.withColumn("ok", F.lit(1)), "_id", "left")
     trusted = rated.groupBy("token").agg(F.avg(F.coalesce("ok", F.lit(0))).alias("share")).filter("share >= 0.5").select("token")
     alone = rated.filter(F.col("ok").isNull()).join(trusted, "token", "left_semi").select("_id")
@@ -195,7 +221,8 @@ def garbled(df: DataFrame, id_column: str, text: str, keep: bool = False) -> Dat
     rows = df.select(F.col(id_column).alias("_id"))
     if not keep:
         return rows.join(ids, "_id", "left_semi").select(F.col("_id").alias(id_column))
-    repairs = hits.join(ids, "_id", "left_semi").groupBy("_id").agg(F.collect_list(F.struct("token", "word", "chain", "kind")).alias("repairs"))
+    by_row = paired.join(settled, ["_id", "chain"], "left_semi").select("_id", "token", "word", "chain", F.lit(BY_ROW).alias("kind"))
+    repairs = hits.join(ids, "_id", "left_semi").union(by_row.distinct()).groupBy("_id").agg(F.collect_list(F.struct("token", "word", "chain", "kind")).alias("repairs"))
     return repairs.withColumnRenamed("_id", id_column)
 
 
@@ -231,6 +258,7 @@ def restored(df: DataFrame, id_column: str, text: str) -> DataFrame:
         for p in parts:
             texts, complete = [], []
             for t, found in zip(p["_text"], p["repairs"]):
+                found = sorted(found, key=lambda r: (r["kind"], r["word"] or ""))  # firmer evidence last
                 words = {r["token"]: r["word"] for r in found if r["word"] is not None}
                 chains = list(dict.fromkeys(int(r["chain"]) for r in found if r["chain"] is not None))
                 new, ok = _mend(t, words, chains)

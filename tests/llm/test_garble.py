@@ -53,3 +53,25 @@ def test_empty_and_repeated(spark):
     assert garbled(spark.createDataFrame([], schema), "element_id", "text").collect() == []
     rows = [(1, "für"), (1, "für"), (2, "f�r"), (2, "f�r"), (3, "a" * 300_000 + " ü")]
     assert [r[0] for r in garbled(spark.createDataFrame(rows, schema), "element_id", "text").collect()] == [2, 2]
+
+
+SENTENCE = {("cp1252", "cp437"): "Prüfung größer Gehäuse", ("cp1252", "mac_roman"): "première éléments résiste", ("cp1250", "cp1252"): "usterkę się występuje", ("cp1251", "koi8-r"): "протокол испытаний насос"}
+
+
+@pytest.mark.parametrize("clean, bad", [(6, 4), (2, 1), (3, 2)])
+def test_byte_chains_are_found_however_common_they_are(spark, clean, bad):
+    rows, want = [], {}
+    for chain, text in SENTENCE.items():
+        for k in range(clean + bad):
+            if k >= clean:
+                want[len(rows)] = text
+            rows.append((len(rows), text if k < clean else garble.garble(text, chain)))
+    df = spark.createDataFrame(rows, "element_id bigint, text string")
+    assert sorted(r[0] for r in garbled(df, "element_id", "text").collect()) == sorted(want)
+    assert {r.element_id: r.restored for r in restored(df, "element_id", "text").collect()} == want
+
+
+def test_lone_tokens_with_signs_are_found_and_symbols_are_not(spark):
+    rows = [(1, "die Füllung"), (2, "die Fⁿllung"), (3, "die Fⁿllung"), (4, "≈ √ und ≥ Ω"), (5, "— – und ³ ½"), (5, "— – und ³ ½"), (6, "się"), (7, "siê"), (8, "ZНIH ХDGZ"), (9, "Н"), (10, "Х"), (11, "о"), (12, "о"), (13, "о"), (14, "и"), (15, "и"), (16, "и")]
+    df = spark.createDataFrame(rows, "element_id bigint, text string")
+    assert sorted(r[0] for r in garbled(df, "element_id", "text").collect()) == [2, 3]
