@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
+from quire.session import shipped
 
 FRAME, TINY, BAND_SHARE, TABLE_OVERLAP, PADDING, WHITE = 0.6, 0.01, 0.5, 0.3, 10.0, 0.98
 LABEL_CHARS, LABEL_WORDS, LABEL_GAP = 16, 2, 6.0
@@ -40,7 +41,7 @@ def _clusters(drawings: DataFrame, gap: float) -> DataFrame:
         first = {x: min(d for d, y in zip(ids, group) if y == x) for x in set(group)}
         return pd.DataFrame({"doc": part["doc"], "page_number": part["page_number"], "drawing_id": part["drawing_id"], "region": [first[x] for x in group]})
 
-    return drawings.groupBy("doc", "page_number").applyInPandas(run, "doc string, page_number int, drawing_id bigint, region bigint")
+    return shipped(drawings).groupBy("doc", "page_number").applyInPandas(run, "doc string, page_number int, drawing_id bigint, region bigint")
 
 
 def regions(drawings: DataFrame, tables: DataFrame, lines: DataFrame, repeated: DataFrame, width: float, height: float, gap: float = 0.0) -> DataFrame:
@@ -165,4 +166,4 @@ def header_limits(parts: DataFrame, width: float, height: float, gap: float = 20
         bottom = foot[1] if wide(foot) and height - band > foot[1] >= (1 - max_depth) * height else None
         return pd.DataFrame({"doc": [part["doc"].iloc[0]], "top": [top], "bottom": [bottom]}).astype({"top": "float64", "bottom": "float64"})
 
-    return parts.filter(F.size("bbox") == 4).select("doc", "bbox").distinct().groupBy("doc").applyInPandas(run, "doc string, top double, bottom double")
+    return shipped(parts).filter(F.size("bbox") == 4).select("doc", "bbox").distinct().groupBy("doc").applyInPandas(run, "doc string, top double, bottom double")

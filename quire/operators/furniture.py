@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry
 from quire.functions.text import furniture_key, has_letters
+from quire.session import shipped
 
 MIN_PAGES, MIN_FRACTION = 2, 0.6
 #: Boxes within this distance of a group's first box belong to it.
@@ -91,7 +92,7 @@ def box_groups(boxes: DataFrame, min_pages: int = 3, min_fraction: float = 0.5)
     b = F.col("bbox")
     flat = boxes.filter(F.size("bbox") == 4).select("doc", "kind", "page_number", geometry.x0(b).alias("x0"), geometry.y0(b).alias("y0"), geometry.x1(b).alias("x1"), geometry.y1(b).alias("y1")).distinct()
     pages = boxes.groupBy("doc").agg(F.countDistinct("page_number").alias("page_count"))
-    found = flat.groupBy("doc", "kind").applyInPandas(group, "doc string, kind string, x0 double, y0 double, x1 double, y1 double, pages bigint")
+    found = shipped(flat).groupBy("doc", "kind").applyInPandas(group, "doc string, kind string, x0 double, y0 double, x1 double, y1 double, pages bigint")
     return found.join(pages, "doc").filter((F.col("pages") >= min_pages) & (F.col("pages") >= min_fraction * F.col("page_count"))).drop("page_count")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import shipped
+
 PENALTY = 0.3
 UNIT = 15
 
@@ -84,4 +86,4 @@ def sequence_ratio(pairs: DataFrame, key: str, left: str, right: str) -> DataFra
             ratio = [difflib.SequenceMatcher(None, (a or "").split(), (b or "").split(), autojunk=False).ratio() for a, b in zip(p["_a"], p["_b"])]
             yield pd.DataFrame({"k": p["_k"], "ratio": ratio})
 
-    return pairs.select(F.col(key).alias("_k"), F.col(left).alias("_a"), F.col(right).alias("_b")).mapInPandas(run, f"k {kind}, ratio double").withColumnRenamed("k", key)
+    return shipped(pairs).select(F.col(key).alias("_k"), F.col(left).alias("_a"), F.col(right).alias("_b")).mapInPandas(run, f"k {kind}, ratio double").withColumnRenamed("k", key)

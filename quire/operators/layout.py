@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry
 from quire.functions.text import is_caption
+from quire.session import shipped
 
 CAPTION_DISTANCE, X_TOLERANCE, BOX_GAP = 60.0, 3.0, 24.0
 
@@ -38,7 +39,7 @@ def x_levels(markers: DataFrame) -> DataFrame:
         level = [min(range(len(firsts)), key=lambda i: (abs(firsts[i] - x), i)) + 1 for x in part["x"]]
         return pd.DataFrame({"doc": part["doc"], "x": part["x"], "level": level})
 
-    return markers.select("doc", "x").filter("x is not null").distinct().groupBy("doc").applyInPandas(run, "doc string, x double, level int")
+    return shipped(markers).select("doc", "x").filter("x is not null").distinct().groupBy("doc").applyInPandas(run, "doc string, x double, level int")
 
 
 def inside_regions(lines: DataFrame, regions: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -97,7 +98,7 @@ def box_components(boxes: DataFrame, gap: float = BOX_GAP) -> DataFrame:
 
     box = F.col("bbox")
     flat = boxes.filter(F.size("bbox") == 4).select("doc", "page_number", "element_id", *[g(box).alias(g.__name__) for g in (geometry.x0, geometry.y0, geometry.x1, geometry.y1)])
-    return flat.groupBy("doc", "page_number").applyInPandas(run, "element_id bigint, component bigint, x0 double, y0 double, x1 double, y1 double")
+    return shipped(flat).groupBy("doc", "page_number").applyInPandas(run, "element_id bigint, component bigint, x0 double, y0 double, x1 double, y1 double")
 
 
 def start_levels(pages: DataFrame, entries: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.structural import ARRAY, NULL, OBJECT, STRING, Nodes, index
+from quire.session import shipped
 
 PAGE, ELEMENT, CELL, REGION = "page", "element", "cell", "region"
 _KINDS = (PAGE, ELEMENT, CELL, REGION)
@@ -259,7 +260,7 @@ def flat_rows(records: DataFrame, id_column: str = "record_id", payload: str = "
                 rows = rows.add_column(0, id_column, ids.take(pa.array(keep[part][of])))
                 yield from rows.select(names).combine_chunks().to_batches()
 
-    return records.select(F.col(id_column), F.col(payload)).mapInArrow(run, T.StructType(fields))
+    return shipped(records).select(F.col(id_column), F.col(payload)).mapInArrow(run, T.StructType(fields))
 
 
 def _box(c: F.Column) -> F.Column:

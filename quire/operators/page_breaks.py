@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry
 from quire.functions.text import ends_sentence, join_text
+from quire.session import shipped
 
 X_TOLERANCE = 3.0
 
@@ -81,7 +82,7 @@ def table_chains(elements: DataFrame) -> DataFrame:
         F.coalesce(a["rows"], F.array()).alias("first_rows"), F.coalesce(z["rows"], F.array()).alias("last_rows"),
         *[g(c["bbox"]).alias(f"{n}_{g.__name__}") for n, c in (("first", a), ("last", z)) for g in (geometry.x0, geometry.x1)],
     ).filter("first_table or last_table")
-    return flat.groupBy("doc").applyInPandas(run, "doc string, element_id bigint, parts array<bigint>, rows bigint")
+    return shipped(flat).groupBy("doc").applyInPandas(run, "doc string, element_id bigint, parts array<bigint>, rows bigint")
 
 
 def _continues(current: list, p) -> bool:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import shipped
+
 # Types with the fields they need, and the first words of diagram sources.
 REQUIRED = {"heading": ("level", "text"), "paragraph": ("text",), "list_item": ("marker", "level", "text"), "table": ("rows",), "image": ("asset",)}
 DIAGRAMS = ("flowchart", "graph", "sequenceDiagram", "classDiagram", "stateDiagram-v2", "stateDiagram", "erDiagram", "journey", "gantt", "pie", "quadrantChart", "requirementDiagram", "gitGraph", "mindmap", "timeline", "sankey-beta", "xychart-beta", "block-beta", "packet-beta")
@@ -65,4 +67,4 @@ def batches(work: DataFrame, budget: int, max_pages: int) -> DataFrame:
             used, pages = used + effort, pages + 1
         return pd.DataFrame({"doc": part["doc"], "page_number": part["page_number"], "batch": out, "oversize": part["effort"] > budget})
 
-    return work.select("doc", "page_number", F.coalesce("effort", F.lit(0)).cast("bigint").alias("effort")).groupBy("doc").applyInPandas(run, "doc string, page_number int, batch int, oversize boolean")
+    return shipped(work).select("doc", "page_number", F.coalesce("effort", F.lit(0)).cast("bigint").alias("effort")).groupBy("doc").applyInPandas(run, "doc string, page_number int, batch int, oversize boolean")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import LEADER_END, LEADER_LINE, heading_key, number_depth, split_number
+from quire.session import shipped
 
 MIN_LEADERS, SEARCH_PAGES, MIN_CONTINUED, MIN_SHARE = 15, 20, 3, 0.3
 WRAP_LINES, SAME_Y, PAGE_TOLERANCE = 3, 3.0, 1
@@ -172,7 +173,7 @@ def parse_toc(lines: DataFrame) -> DataFrame:
         return out.astype({"page": "Int32", "level": "Int32"})
 
     kind = lines.schema["doc"].dataType.simpleString()
-    return lines.filter(F.col("page_number") <= SEARCH_PAGES).groupBy("doc").applyInPandas(run, f"doc {kind}, number string, title string, page int, level int, unparsed string")
+    return shipped(lines).filter(F.col("page_number") <= SEARCH_PAGES).groupBy("doc").applyInPandas(run, f"doc {kind}, number string, title string, page int, level int, unparsed string")
 
 
 def match_headings(entries: DataFrame, headings: DataFrame) -> DataFrame:
@@ -203,7 +204,7 @@ def match_headings(entries: DataFrame, headings: DataFrame) -> DataFrame:
             rows.append((r.id, r.doc, r.key, r.page, r.level, *(got if got else (None, None, None))))
         return pd.DataFrame(rows, columns=["entry_id", "doc", "key", "page", "entry_level", "element_id", "at", "heading_level"]).astype({"page": "Int32", "entry_level": "Int32", "element_id": "Int64", "at": "Int32", "heading_level": "Int32"})
 
-    shared = both.groupBy("doc", "key").applyInPandas(turns, "entry_id bigint, doc string, key string, page int, entry_level int, element_id bigint, at int, heading_level int")
+    shared = shipped(both).groupBy("doc", "key").applyInPandas(turns, "entry_id bigint, doc string, key string, page int, entry_level int, element_id bigint, at int, heading_level int")
     out = plain.select(shared.columns).unionByName(shared)
     state = F.when(F.col("element_id").isNull(), "missing").when(F.abs(F.col("at") - F.col("page")) > PAGE_TOLERANCE, "page").when(F.col("heading_level") != F.col("entry_level"), "level").otherwise("ok")
     return out.select("entry_id", "doc", "element_id", "page", "at", state.alias("state"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -31,13 +32,18 @@ def local_session(app: str = "quire", cpus: int | None = None, memory: str = "8g
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, as in tests on one
-    machine, a temporary folder of this machine is set and returned.
+    A cluster names it in ``spark.checkpoint.dir``; without that an error is raised there. On one
+    machine, as in tests, a temporary folder of this machine is set and returned. The folder of
+    this application is removed when it ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        path = spark._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -57,6 +63,12 @@ def ship_package(spark: SparkSession) -> None:
         _shipped.add(sc.applicationId)
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df`` itself, for a stage in Python: this package is shipped to the workers first."""
+    ship_package(df.sparkSession)
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return a frame that reads it.
 
@@ -67,6 +79,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a frame that reads it.
+
+    Like :func:`cut`, for larger frames of which columns repeat their values or not all are read.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Mark a small, cheaply recomputable frame for reuse on memory and disk."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)

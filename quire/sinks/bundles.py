@@ -19,6 +19,7 @@ from quire.functions import render
 from quire.functions.text import first_sentence, heading_slug, slug, split_number, two_digits
 from quire.operators.elements import list_depths, open_headings, sections
 from quire.operators.scan import page_keys
+from quire.session import shipped
 
 REQIF = "http://www.omg.org/spec/ReqIF/20110401/reqif.xsd"
 
@@ -178,7 +179,7 @@ def reqif_files(elements: DataFrame) -> DataFrame:
         doc = part["doc"].iloc[0]
         return pd.DataFrame({"doc": [doc], "path": [f"{doc}/{doc}.reqif"], "content": [_reqif(doc, part.sort_values(["page_number", "seq", "element_id"]))]})
 
-    return df.groupBy("doc").applyInPandas(run, "doc string, path string, content string")
+    return shipped(df).groupBy("doc").applyInPandas(run, "doc string, path string, content string")
 
 
 def write_files(files: DataFrame, root: str) -> None:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.sources import html
+from quire.session import shipped
 
 # Extensions in the order of preference, and the first bytes of old office files.
 FORMATS = {"pdf": "pdf", "pptx": "pptx", "xlsx": "xlsx", "docx": "docx", "html": "html", "htm": "html", "png": "image", "jpg": "image", "jpeg": "image", "webp": "image", "tiff": "image"}
@@ -181,4 +182,4 @@ def read_documents(files: DataFrame) -> DataFrame:
             for doc, kind, content in p.itertuples(index=False):  # a file at a time
                 yield pd.DataFrame([(doc, *r) for r in read_file(kind, bytes(content))], columns=_COLUMNS).astype({"page_number": "Int32", "seq": "Int32", "level": "Int32"})
 
-    return files.select("doc", "format", "content").mapInPandas(run, SCHEMA)
+    return shipped(files).select("doc", "format", "content").mapInPandas(run, SCHEMA)

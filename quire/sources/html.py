@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import shipped
+
 # Fixed values of HTML.
 BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p table pre blockquote li".split())
 SILENT = frozenset("script style head template".split())
@@ -134,7 +136,7 @@ def read_html(pages: DataFrame, key: list[str], html: str) -> DataFrame:
             rows = [(*k, i, *e) for *k, h in p.itertuples(index=False) for i, e in enumerate(elements(h), 1)]
             yield pd.DataFrame(rows, columns=[*key, "seq", "tag", "type", "level", "text", "rows"]).astype({"level": "Int32"})
 
-    return pages.filter(F.col(html).isNotNull()).select(*key, F.col(html)).mapInPandas(run, schema)
+    return shipped(pages).filter(F.col(html).isNotNull()).select(*key, F.col(html)).mapInPandas(run, schema)
 
 
 def triage(pages: DataFrame, html: str) -> DataFrame:
