@@ -18,10 +18,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.session import ship_package
+
 # Letters that look the same in Latin, Cyrillic and Greek ("-": none there).
 ALIKE = (
     "Latin:    A B C E H I J K M N O P S T X Y Z a c e i j o p s v x y d h q w",
@@ -176,6 +178,7 @@ def _consistent(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def consistent_form(text: F.Column) -> F.Column:
     """Column form of :func:`consistent`; one Arrow-batched Python stage."""
+    ship_package(SparkSession.active())
     return _consistent(text)
 
 

@@ -1,22 +1,29 @@
 """Texts that were decoded with a wrong encoding: which they are, and the original where it can be had.
 
 Garbled forms of every distinct corpus word are generated under all encoding chains and hash-joined
-with the distinct tokens of the corpus; a token that equals a form of another, known word is taken
-for garbled. Tokens are runs of ASCII letters and characters beyond ASCII that hold one of the
-latter (``Prüfung``, ``±``, ``doesn’t``), and the bare runs beyond ASCII in them (``ü``), so that a
-garbled letter is found in a word that never occurs clean.
-
-Evidence is of three kinds. *Sure*: forms of chains through UTF-8, which no clean word has by chance,
-replacement characters and C1 controls. *Strong*: forms of one byte encoding read as another, of at
-least :data:`STRONG` characters, that bear more signs of garbling than their word (a symbol between
-letters, a capital after a small letter, two scripts in a word) or whose word is :data:`RATIO` times as
-frequent. *Weak*: the same for shorter tokens; they count where two of one chain meet, or where the
-token's other rows mostly have sure or strong evidence. So ``ñ`` on a key stays, although it is a
-garbled ``±``.
-
-The ratio settles lone tokens only. All matches of byte encodings also count together by row: where one
-chain turns several different tokens of a row into known words, the signs and the frequencies of all
-of them say which side is garbled. A form with fewer signs than its word is never taken for garbled.
+with the distinct tokens of the corpus; a token that equals a form of another, known word is a
+candidate, and is verified before the word is put in its place. Tokens are runs of ASCII letters and
+characters beyond ASCII that hold one of the latter (``Prüfung``, ``±``, ``doesn’t``). Bare runs beyond
+ASCII in them (``ü``) are joined with chains through UTF-8 only, so that a garbled letter is found in
+a word that never occurs clean. Tokens of less than :data:`STRONG` characters say little alone: they
+are joined together with the pieces of text before and after them (``mm ±0 µm``, ``‡ la main`` for
+``à la main``), numbers and codes levelled.
+
+How often a word occurs is counted on whole tokens alone, so that one odd row with a lone letter does
+not lend that letter the frequency of all words that hold it. The evidence, by row:
+
+* *Sure*: forms of chains through UTF-8, which no clean word has by chance, replacement characters
+  and C1 controls. Short ones that may stand together in clean text count only beside other evidence.
+* *Strong*: forms of one byte encoding read as another, of at least :data:`STRONG` characters or in
+  their surroundings, that bear more signs of garbling than their word (a symbol between letters, a
+  capital after a small letter, two scripts in a word) or whose word is :data:`RATIO` times as frequent.
+* *Together*: one chain turns several different such tokens of a row into known words, and their signs
+  and frequencies together say that the row's side is the garbled one.
+* *Weak*: the same as strong for short tokens without their surroundings, where there are several and
+  the chain turns every token of the row into a known word.
+
+A form with fewer signs than its word is never taken for garbled. So ``ñ`` on a key stays, although
+it is a garbled ``±``, and so does a row of symbols that one by one are garbled letters.
 
 Null and empty texts are clean, and rows without an id are left out. Rows are judged one by one;
 repeated rows stay repeated.
@@ -33,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut
+from quire.session import cut, shipped, stored
 
 #: A word must be this many times as frequent as its garbled form, for lone tokens without signs.
 RATIO = 10
-#: Characters from which such a form alone is evidence.
+#: Characters from which such a form alone is evidence; shorter tokens are joined with their surroundings.
 STRONG = 3
 #: Rows of garbled tokens up to which the table is broadcast (about 100 bytes a row).
 BROADCAST_ROWS = 100_000
@@ -62,8 +69,11 @@ BYTES_AS = {
 CHAINS = [("utf-8", d) for d in UTF8_AS] + [("utf-8", d, "utf-8", e) for d in TWICE for e in (d, "cp1252", "latin-1")]
 CHAINS = list(dict.fromkeys(CHAINS)) + [(e, d) for e, ds in BYTES_AS.items() for d in ds]
 SURE, STRONG_FORM, WEAK, LOST, BY_ROW = 3, 2, 1, 4, 0
+WHOLE, RUN, AROUND = range(3)
+UTF8_CHAINS = sum(c[0] == "utf-8" for c in CHAINS)
 _TOKEN = re.compile("[A-Za-z\x80-\U0010ffff]+")
 _RUN = re.compile("[\x80-\U0010ffff]+")
+_NUMBER = re.compile(r"[A-Z]{2,}[A-Z0-9/.-]*|[0-9]+(?:[.,][0-9]+)*")
 _SIGN = r"(?<=\p{L})[\p{S}\p{No}\p{Lm}ªº¿¡§¶†‡‰]+(?=\p{L})|(?<=[\p{Ll}&&[^a-z]])\p{Lu}|(?<=[a-z])[\p{Lu}&&[^A-Z]]"
 _SIGN += r"|(?<=\p{IsLatin})[\p{IsGreek}\p{IsCyrillic}]|(?<=\p{IsGreek})[\p{IsLatin}\p{IsCyrillic}]|(?<=\p{IsCyrillic})[\p{IsLatin}\p{IsGreek}]"
 #: What a token with more signs than its word weighs, as the logarithm of a ratio.
@@ -119,23 +129,34 @@ def restore(word: str, chain: tuple[str, ...]) -> str | None:
 def _forms(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         form, word, n, signs, chain = [], [], [], [], []
-        for w, rows, sign, whole in zip(part["token"], part["n"], part["signs"], part["whole"]):
+        for w, rows, whole, sign in zip(part["token"], part["n"], part["whole"], part["signs"]):
+            around = " " in w
             seen: dict[tuple[str, int], int] = {}  # the first chain through UTF-8, every one of byte encodings
             for k, c in enumerate(CHAINS):
-                if c[0] == "utf-8" or whole:
+                if (not around) if c[0] == "utf-8" else whole:
                     g = garble(w, c)
                     if g is not None and g != w:
                         seen.setdefault((g, -1 if c[0] == "utf-8" else k), k)
             form += [g for g, _ in seen]
             chain += seen.values()
             word += [w] * len(seen)
-            n += [rows] * len(seen)
+            n += [rows if k < UTF8_CHAINS else whole for k in seen.values()]
             signs += [sign] * len(seen)
         yield pd.DataFrame({"token": form, "word": word, "word_n": n, "word_signs": signs, "chain": chain})
 
 
+def _around(text: str) -> set[str]:
+    """The short tokens of a text, each with the pieces before and after it, numbers and codes levelled."""
+    pieces = ["^", *text.split(), "$"]
+    out = set()
+    for i, p in enumerate(pieces):
+        if not p.isascii() and any(len(w) < STRONG and not w.isascii() for w in _TOKEN.findall(p)):
+            out.add(_NUMBER.sub("0", " ".join(pieces[i - 1 : i + 2])))
+    return out
+
+
 def tokens(rows: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Distinct tokens of each row: ``_id``, ``token``, and whether it is a ``whole`` one or a bare run.
+    """Distinct tokens of each row: ``_id``, ``token`` and ``unit``, a WHOLE one, a bare RUN or a short one with what is AROUND it.
 
     A scan of the text in Arrow batches; as expressions on arrays it takes about twice the time.
     """
@@ -143,44 +164,47 @@ def tokens(rows: DataFrame, id_column: str, text: str) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, token, whole = [], [], []
+            row, token, unit = [], [], []
             for i, t in enumerate(batch.column(1).to_pylist()):
                 words = {w for w in _TOKEN.findall(t) if not w.isascii()}
                 runs = {r for w in words for r in _RUN.findall(w)} - words
-                row += [i] * (len(words) + len(runs))
-                token += words
-                token += runs
-                whole += [True] * len(words)
-                whole += [False] * len(runs)
+                around = _around(t) if any(len(w) < STRONG for w in words) else ()
+                row += [i] * (len(words) + len(runs) + len(around))
+                token += [*words, *runs, *around]
+                unit += [WHOLE] * len(words) + [RUN] * len(runs) + [AROUND] * len(around)
             ids = batch.column(0).take(pa.array(row, pa.int32()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(token, pa.string()), pa.array(whole, pa.bool_())], ["_id", "token", "whole"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(token, pa.string()), pa.array(unit, pa.int8())], ["_id", "token", "unit"])
 
     beyond = rows.filter(F.col(text).rlike(r"[^\x{0}-\x{7F}]")).select(id_column, text)
-    return beyond.mapInArrow(scan, f"_id {kind}, token string, whole boolean")
+    return shipped(beyond).mapInArrow(scan, f"_id {kind}, token string, unit tinyint")
 
 
 def garbled_tokens(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The corpus tokens that are garbled forms: ``token``, ``word``, ``chain`` and ``kind``; and all pairs to be settled by row.
 
-    ``kind`` is SURE, STRONG_FORM, WEAK or, for tokens with lost characters and no word, LOST. The pairs
-    are those of byte encodings with letters on both sides: ``token``, ``chain``, ``word`` and ``weight``.
+    ``kind`` is SURE, STRONG_FORM or, for tokens with lost characters and no word, LOST. The pairs are those
+    of byte encodings: ``token``, ``chain``, ``word``, ``weight``, whether they count ``together``, and ``weak``.
     """
-    counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"))
-    counts = cut(counts.withColumn("signs", F.regexp_count("token", F.lit(_SIGN))))
-    forms = counts.filter(~F.col("token").rlike(_LOST)).mapInPandas(_forms, "token string, word string, word_n bigint, word_signs int, chain int")
-    through_utf8 = F.col("chain") < sum(c[0] == "utf-8" for c in CHAINS)
-    more, fewer = F.col("signs") > F.col("word_signs"), F.col("signs") < F.col("word_signs")
-    more &= ~F.col("word").rlike(r"\p{Z}")
-    often = more | (F.col("word_n") >= RATIO * F.col("n"))
-    kind = F.when(through_utf8 & (F.length("token") > 1), SURE).when(~F.col("whole") | fewer, None).when(often & (F.length("token") >= STRONG), STRONG_FORM).when(often, WEAK)
-    by_row = ~through_utf8 & F.col("whole") & ~fewer & (more | (F.col("token").rlike(r"\p{L}") & F.col("word").rlike(r"\p{L}")))
-    weight = F.when(more, _SIGN_WEIGHT).otherwise(F.log(F.col("word_n") / F.col("n")))
-    met = cut(forms.join(counts, "token").withColumns({"kind": kind, "by_row": by_row, "weight": weight}).filter(F.col("kind").isNotNull() | F.col("by_row")))
+    counts = found.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("unit") != RUN).alias("whole"))
+    around, lost = F.contains("token", F.lit(" ")), F.col("token").rlike(_LOST)
+    counts = cut(counts.withColumn("signs", F.when(around, 0).otherwise(F.regexp_count("token", F.lit(_SIGN)))))
+    # Surroundings that occur less than RATIO times can't be RATIO times as frequent as others.
+    spread = counts.filter(~lost & (~around | (F.col("n") >= RATIO))).repartition(F.col("token"))
+    forms = shipped(spread).mapInPandas(_forms, "token string, word string, word_n bigint, word_signs int, chain int")
+    utf8, short = F.col("chain") < UTF8_CHAINS, F.length("token") < STRONG
+    more, fewer = (F.col("signs") > F.col("word_signs")) & ~F.col("word").rlike(r"\p{Z}"), F.col("signs") < F.col("word_signs")
+    often = more | (F.col("word_n") >= RATIO * F.col("whole"))
+    byte = ~utf8 & (F.col("whole") > 0) & ~fewer
+    kind = F.when(utf8 & (F.length("token") > 1), SURE).when(byte & ~short & often, STRONG_FORM)
+    letters = F.col("token").rlike(r"\p{L}") & F.col("word").rlike(r"\p{L}")
+    weight = F.when(more, _SIGN_WEIGHT).otherwise(F.log(F.col("word_n") / F.col("whole")))
+    joined = forms.join(counts, "token").withColumns({"kind": kind, "byte": byte, "weight": F.when(byte, weight), "together": ~short & (more | letters | around), "weak": short & often})
+    met = cut(joined.filter(F.col("kind").isNotNull() | F.col("byte")).select("token", "word", "word_n", "chain", "kind", "byte", "weight", "together", "weak"))
     best = met.filter(F.col("kind").isNotNull()).groupBy("token").agg(F.max_by(F.struct("word", "chain", "kind"), F.struct("kind", "word_n", -F.col("chain"), "word")).alias("b"))
     known = best.select("token", "b.*")
-    lost = counts.filter(F.col("token").rlike(_LOST)).join(best, "token", "left_anti")
-    bad = known.unionByName(lost.select("token", F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("chain"), F.lit(LOST).alias("kind")))
-    pairs = met.filter("by_row").groupBy("token", "chain").agg(F.max_by(F.struct("word", "weight"), F.struct("weight", "word")).alias("b"))
+    rest = counts.filter(lost & ~around).join(best, "token", "left_anti")
+    bad = known.unionByName(rest.select("token", F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("chain"), F.lit(LOST).alias("kind")))
+    pairs = met.filter("byte").groupBy("token", "chain").agg(F.max_by(F.struct("word", "weight", "together", "weak"), F.struct("weight", "word")).alias("b"))
     return bad, pairs.select("token", "chain", "b.*")
 
 
@@ -188,20 +212,25 @@ def _met(found: DataFrame, table: DataFrame) -> DataFrame:
     return found.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, "token")
 
 
-def _evidence(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each row's garbled tokens, its pairs to be settled by row, and the chains that these settle: ``_id``, ``chain``."""
-    found = tokens(df, id_column, text)
+def _evidence(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Each row's garbled tokens: ``_id``, ``token``, ``word``, ``chain`` and ``kind``; and the ids of the garbled rows."""
+    found = stored(tokens(df, id_column, text))
     bad, pairs = (cut(t) for t in garbled_tokens(found))
-    hits = _met(found, bad)
-    paired = _met(found.filter("whole"), pairs)
-    mark = F.xxhash64("token")
-    votes = paired.groupBy("_id", "chain").agg(F.min(mark).alias("a"), F.max(mark).alias("b"), F.sum("weight").alias("weight"))
-    settled = cut(votes.filter("a < b and weight > 0").select("_id", "chain"))
-    # Two or three letters may stand together in a clean word by chance.
-    n, sure = F.length("token"), F.col("kind") == SURE
+    # Two or three letters may stand together in a clean word by chance, and so may lines of a frame.
+    n, whole = F.length("token"), F.col("unit") == WHOLE
     cyrillic = F.col("chain").isin([k for k, c in enumerate(CHAINS) if c[-1] in CYRILLIC])
-    chance = (cyrillic & (n < F.when(F.col("whole"), 3).otherwise(4))) | (~F.col("whole") & (n == 2) & F.col("token").rlike(r"[\x{A0}\x{AD}]"))
-    return hits.filter((F.col("kind") == LOST) | (sure & ~F.coalesce(chance, F.lit(False))) | (~sure & F.col("whole"))), paired, settled
+    chance = (cyrillic & (n < F.when(whole, 3).otherwise(4))) | (~whole & (n == 2) & F.col("token").rlike(r"[\x{A0}\x{AD}]")) | (whole & (n == 2) & F.col("token").rlike(r"^[\x{2500}-\x{257F}]+$"))
+    solid = (F.col("kind") == LOST) | ((F.col("kind") == SURE) & ~F.coalesce(chance, F.lit(False))) | ((F.col("kind") == STRONG_FORM) & (F.col("unit") != RUN))
+    hits = _met(found, bad).filter(solid).select("_id", "token", "word", "chain", "kind")
+    paired = _met(found.filter(F.col("unit") != RUN), pairs)
+    mark = F.xxhash64("token")
+    of = lambda what: [F.min(F.when(what, mark)).alias("a"), F.max(F.when(what, mark)).alias("b")]
+    votes = paired.filter("together").groupBy("_id", "chain").agg(*of(F.lit(True)), F.sum("weight").alias("weight")).filter("a < b and weight > 0")
+    weak = paired.filter(whole).groupBy("_id", "chain").agg(*of(F.col("weak")), F.count_distinct("token").alias("n")).filter("a < b")
+    every = found.filter(whole).join(weak.select("_id").distinct(), "_id", "left_semi").groupBy("_id").agg(F.count_distinct("token").alias("n"))
+    settled = cut(votes.select("_id", "chain").union(weak.join(every, ["_id", "n"]).select("_id", "chain")).distinct())
+    by_row = paired.join(settled, ["_id", "chain"], "left_semi").select("_id", "token", "word", "chain", F.lit(BY_ROW).alias("kind"))
+    return hits.union(by_row), hits.select("_id").union(settled.select("_id")).distinct()
 
 
 def garbled(df: DataFrame, id_column: str, text: str, keep: bool = False) -> DataFrame:
@@ -209,20 +238,10 @@ def garbled(df: DataFrame, id_column: str, text: str, keep: bool = False) -> Dat
 
     ``repairs`` is an array of (token, word, chain, kind) with the garbled tokens of the row.
     """
-    hits, paired, settled = _evidence(df, id_column, text)
-    hits = cut(hits.select("_id", "token", "word", "chain", "kind").distinct())
-    weak, solid = F.col("kind") == WEAK, F.col("kind") != WEAK
-    chains = hits.filter(weak).groupBy("_id", "chain").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_id").distinct()
-    sure = hits.filter(solid).select("_id").union(chains).union(settled.select("_id")).distinct()
-    rated = hits.filter(weak).join(sure.withColumn("ok", F.lit(1)), "_id", "left")
-    trusted = rated.groupBy("token").agg(F.avg(F.coalesce("ok", F.lit(0))).alias("share")).filter("share >= 0.5").select("token")
-    alone = rated.filter(F.col("ok").isNull()).join(trusted, "token", "left_semi").select("_id")
-    ids = sure.union(alone).distinct()
-    rows = df.select(F.col(id_column).alias("_id"))
+    hits, ids = _evidence(df, id_column, text)
     if not keep:
-        return rows.join(ids, "_id", "left_semi").select(F.col("_id").alias(id_column))
-    by_row = paired.join(settled, ["_id", "chain"], "left_semi").select("_id", "token", "word", "chain", F.lit(BY_ROW).alias("kind"))
-    repairs = hits.join(ids, "_id", "left_semi").union(by_row.distinct()).groupBy("_id").agg(F.collect_list(F.struct("token", "word", "chain", "kind")).alias("repairs"))
+        return df.select(F.col(id_column).alias("_id")).join(ids, "_id", "left_semi").select(F.col("_id").alias(id_column))
+    repairs = hits.distinct().groupBy("_id").agg(F.collect_list(F.struct("token", "word", "chain", "kind")).alias("repairs"))
     return repairs.withColumnRenamed("_id", id_column)
 
 
@@ -259,7 +278,10 @@ def restored(df: DataFrame, id_column: str, text: str) -> DataFrame:
             texts, complete = [], []
             for t, found in zip(p["_text"], p["repairs"]):
                 found = sorted(found, key=lambda r: (r["kind"], r["word"] or ""))  # firmer evidence last
-                words = {r["token"]: r["word"] for r in found if r["word"] is not None}
+                words = {}
+                for r in found:
+                    if r["word"] is not None:
+                        words.update((a, b) for a, b in zip(_TOKEN.findall(r["token"]), _TOKEN.findall(r["word"])) if a != b)
                 chains = list(dict.fromkeys(int(r["chain"]) for r in found if r["chain"] is not None))
                 new, ok = _mend(t, words, chains)
                 texts.append(new)
@@ -268,4 +290,4 @@ def restored(df: DataFrame, id_column: str, text: str) -> DataFrame:
 
     kind = df.schema[id_column].dataType.simpleString()
     rows = df.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(repairs.withColumnRenamed(id_column, "_id"), "_id")
-    return rows.mapInPandas(mend, f"id {kind}, restored string, complete boolean").withColumnRenamed("id", id_column)
+    return shipped(rows).mapInPandas(mend, f"id {kind}, restored string, complete boolean").withColumnRenamed("id", id_column)

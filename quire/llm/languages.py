@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.forms import consistent
-from quire.session import cut
+from quire.session import cut, shipped
 
 # Spellings of the languages, by code, first part of a tag, or name.
 SPELLINGS = {
@@ -84,7 +84,7 @@ def fit_profiles(rows: DataFrame) -> dict[str, list[str]]:
                 counts[g] += n
         return pd.DataFrame({"lang": part["lang"].iloc[0], "grams": [_ordered(counts)[:PROFILE]]})
 
-    return {r.lang: list(r.grams) for r in rows.groupBy("lang").applyInPandas(fit, "lang string, grams array<string>").collect()}
+    return {r.lang: list(r.grams) for r in shipped(rows).groupBy("lang").applyInPandas(fit, "lang string, grams array<string>").collect()}
 
 
 class Profiles:
@@ -168,7 +168,7 @@ def passages(elements: DataFrame, labels: DataFrame) -> DataFrame:
     chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     named = labels.select("doc", language_code(F.col("lang")).alias("lang")).filter(F.col("lang").isNotNull()).dropDuplicates(["doc"])
     profiles = fit_profiles(chosen.join(named, "doc").select("lang", "text"))
-    return rows.mapInPandas(_judge(profiles), "doc string, id bigint, lang string, words bigint, full boolean, lead double")
+    return shipped(rows).mapInPandas(_judge(profiles), "doc string, id bigint, lang string, words bigint, full boolean, lead double")
 
 
 def main_languages(found: DataFrame) -> DataFrame:

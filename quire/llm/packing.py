@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.ranks import ranges_for, running
-from quire.session import cut
+from quire.session import cut, shipped
 
 
 @dataclass
@@ -167,7 +167,7 @@ def pack(sizes: DataFrame, specs: DataFrame) -> DataFrame:
     most = max((n for c in counts.values() for n in c.values()), default=0)
     keyed = items.select("*", F.xxhash64("doc_id", "piece").alias("_key"), F.lit(1).cast("bigint").alias("_one"))
     ranked = running(keyed, ["spec_id", "tokens"], "_key", "_one", ranges_for(most), ["doc_id", "piece"]).withColumnRenamed("before", "rank")
-    return ranked.select("spec_id", "doc_id", "piece", "start", "tokens", "rank").mapInPandas(_place(plans), schema)
+    return shipped(ranked).select("spec_id", "doc_id", "piece", "start", "tokens", "rank").mapInPandas(_place(plans), schema)
 
 
 def fill(packed: DataFrame, specs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import shipped
+
 #: Folder of the tokenizer files, the same on every machine, and the byte-level vocabulary used.
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -45,4 +47,4 @@ def token_sizes(df: DataFrame, text: str, keep: list[str], folder: str = FOLDER,
         for s in parts:
             yield pd.Series([len(encode(t)) for t in s], dtype="int64")
 
-    return df.filter(F.col(text).isNotNull()).select(*keep, size(F.col(text)).alias("tokens"))
+    return shipped(df).filter(F.col(text).isNotNull()).select(*keep, size(F.col(text)).alias("tokens"))

@@ -75,3 +75,31 @@ def test_lone_tokens_with_signs_are_found_and_symbols_are_not(spark):
     rows = [(1, "die Füllung"), (2, "die Fⁿllung"), (3, "die Fⁿllung"), (4, "≈ √ und ≥ Ω"), (5, "— – und ³ ½"), (5, "— – und ³ ½"), (6, "się"), (7, "siê"), (8, "ZНIH ХDGZ"), (9, "Н"), (10, "Х"), (11, "о"), (12, "о"), (13, "о"), (14, "и"), (15, "и"), (16, "и")]
     df = spark.createDataFrame(rows, "element_id bigint, text string")
     assert sorted(r[0] for r in garbled(df, "element_id", "text").collect()) == [2, 3]
+
+
+TRAPS = ["Ra ¾ µm — Ω ≥ 10 kΩ ± 1 ‰", "12 m² ≤ 3·10³ N/m² (§ 7, ¶ 4)", "├── A1\n└── B2 ║ ═ ╬", "√2 · Ø 30 mm ÷ 4 ≈ 5 ½ mm", "£ 40 / ¥ 300 / ¢ 5 / ¤ 1", "Å 1,5 · ∆t = 20 °C · ∑ = 3 · ∞", "angle α and Θ"]
+LETTERS = [chr(c) for c in [*range(0xA1, 0x180), *range(0x391, 0x3CA), *range(0x410, 0x450), *range(0x2550, 0x256D), 0x2013, 0x2014, 0x2019, 0x221A, 0x2248, 0x2264]]
+ODD = {
+    "lone letter": ["El valor ó su medida."],
+    "list of letters": ["Letters: " + " ".join(LETTERS[:120])],
+    "all letters": ["Letters: " + " ".join(LETTERS), "Signs " + " / ".join(LETTERS)],
+    "keys": [f"See the {c} key of the panel." for c in LETTERS for _ in range(12)],
+}
+
+
+@pytest.mark.parametrize("odd", sorted(ODD))
+def test_odd_clean_rows_change_nothing(spark, odd):
+    """Rows with lone letters lend no frequency to those letters: no other row is found for them."""
+    clean = [f"{w} und {v} à la valeur" for w in WORDS for v in WORDS] * 8 + TRAPS * 60
+    bad = ["PrÃ¼fung one", "rÈsiste three", "zg│asza", "und ‡ la valeur"]
+    texts = clean + bad + ["und à la valeur"] * 20 + ODD[odd]
+    df = spark.createDataFrame(list(enumerate(texts)), "element_id bigint, text string")
+    got = sorted(r[0] for r in garbled(df, "element_id", "text").collect())
+    assert got == list(range(len(clean), len(clean) + len(bad)))
+
+
+def test_short_tokens_are_settled_by_what_is_around_them(spark):
+    texts = [f"frames, Ø {k} mm" for k in range(40)] + ["frames, ÿ 7 mm", "see the ÿ key", "10 × 5"] + ["em 3 é 5"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "element_id bigint, text string")
+    assert [r[0] for r in garbled(df, "element_id", "text").collect()] == [40]
+    assert [tuple(r) for r in restored(df, "element_id", "text").collect()] == [(40, "frames, Ø 7 mm", True)]
