@@ -32,6 +32,7 @@ repeated rows stay repeated.
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Iterator
 
@@ -40,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.joins import join_small
 from quire.session import cut, shipped, stored
 
 #: A word must be this many times as frequent as its garbled form, for lone tokens without signs.
@@ -189,7 +191,8 @@ def garbled_tokens(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     around, lost = F.contains("token", F.lit(" ")), F.col("token").rlike(_LOST)
     counts = cut(counts.withColumn("signs", F.when(around, 0).otherwise(F.regexp_count("token", F.lit(_SIGN)))))
     # Surroundings that occur less than RATIO times can't be RATIO times as frequent as others.
-    spread = counts.filter(~lost & (~around | (F.col("n") >= RATIO))).repartition(F.col("token"))
+    parallel = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = counts.filter(~lost & (~around | (F.col("n") >= RATIO))).repartition(parallel, "token")
     forms = shipped(spread).mapInPandas(_forms, "token string, word string, word_n bigint, word_signs int, chain int")
     utf8, short = F.col("chain") < UTF8_CHAINS, F.length("token") < STRONG
     more, fewer = (F.col("signs") > F.col("word_signs")) & ~F.col("word").rlike(r"\p{Z}"), F.col("signs") < F.col("word_signs")
@@ -204,7 +207,8 @@ def garbled_tokens(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = best.select("token", "b.*")
     rest = counts.filter(lost & ~around).join(best, "token", "left_anti")
     bad = known.unionByName(rest.select("token", F.lit(None).cast("string").alias("word"), F.lit(None).cast("int").alias("chain"), F.lit(LOST).alias("kind")))
-    pairs = met.filter("byte").groupBy("token", "chain").agg(F.max_by(F.struct("word", "weight", "together", "weak"), F.struct("weight", "word")).alias("b"))
+    # A token RATIO times as frequent as the word says nothing; without those hardly a clean row is joined.
+    pairs = met.filter(F.col("byte") & (F.col("weight") > -math.log(RATIO))).groupBy("token", "chain").agg(F.max_by(F.struct("word", "weight", "together", "weak"), F.struct("weight", "word")).alias("b"))
     return bad, pairs.select("token", "chain", "b.*")
 
 
@@ -226,8 +230,8 @@ def _evidence(df: DataFrame, id_column: str, text: str) -> tuple[DataFrame, Data
     mark = F.xxhash64("token")
     of = lambda what: [F.min(F.when(what, mark)).alias("a"), F.max(F.when(what, mark)).alias("b")]
     votes = paired.filter("together").groupBy("_id", "chain").agg(*of(F.lit(True)), F.sum("weight").alias("weight")).filter("a < b and weight > 0")
-    weak = paired.filter(whole).groupBy("_id", "chain").agg(*of(F.col("weak")), F.count_distinct("token").alias("n")).filter("a < b")
-    every = found.filter(whole).join(weak.select("_id").distinct(), "_id", "left_semi").groupBy("_id").agg(F.count_distinct("token").alias("n"))
+    weak = cut(paired.filter(whole).groupBy("_id", "chain").agg(*of(F.col("weak")), F.count(F.lit(1)).alias("n")).filter("a < b").select("_id", "chain", "n"))
+    every = join_small(found.filter(whole), weak.select("_id").distinct(), "_id", "left_semi").groupBy("_id").agg(F.count(F.lit(1)).alias("n"))
     settled = cut(votes.select("_id", "chain").union(weak.join(every, ["_id", "n"]).select("_id", "chain")).distinct())
     by_row = paired.join(settled, ["_id", "chain"], "left_semi").select("_id", "token", "word", "chain", F.lit(BY_ROW).alias("kind"))
     return hits.union(by_row), hits.select("_id").union(settled.select("_id")).distinct()
