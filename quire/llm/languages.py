@@ -1,18 +1,25 @@
 """Language of documents and of passages, by rank-order profiles.
 
-Each language has a profile: its most frequent character n-grams, of words with their ends marked,
-by rank. A text's distance to a language is out-of-place: how far the text's n-grams, in their own
-order of frequency, lie from their ranks in the profile, absent ones at its end. The distance of a
-word is kept, so a sentence's distance, the mean over its words, costs one look-up a word. Profiles
-are fitted on a bounded sample of labelled rows, :data:`TRAIN_ROWS` elements chosen by the hash of
-their id; labels may be wrong in a minority. Everything else covers all rows.
-
-The language of a document is that of most of its words. A passage is a full sentence, with its end
-mark and at least :data:`MIN_WORDS` words, in another language. Sentences that fit no profile or no
-single one, such as codes and garbled text, have no language. Confidence is, for a document, the
-share of its words, and for a passage the distance's lead over the second language.
-
-Rows without document or text have no part; a document without any known text has no language.
+Each language has a profile: its most frequent character n-grams, of words with their ends marked, by
+rank. A document's own profile is its :data:`TOP` most frequent n-grams by rank, counted over the whole
+document; its language is that with the least out-of-place distance, the mean of how far the ranks lie
+apart, n-grams that the language's first :data:`SIZE` lack at the end. A passage, a full sentence with
+its end mark and at least :data:`MIN_WORDS` words, is judged by the same distance of its own n-grams
+by rank; n-grams that are equally frequent in it go by how common they are in any language.
+
+Documents whose first two languages lie near each other, mixed ones, are in that of the two which has
+most words, by sentences. Only candidates are ranked as passages: sentences that a sum over their
+words, each looked up once, puts in another language, which the ranks must confirm. Passages that fit no profile or no single one, such as codes and
+garbled text, have no language. Confidence is the distance of the second language as a share of the
+distances of the first two; from 0.5, as near to both, to 1.
+
+A document is one task's group if it has at most :data:`GROUP_ROWS` rows. The n-grams of larger ones
+are counted where the rows lie and summed; their passages are judged beside the document's language.
+
+Profiles are fitted on a bounded sample of labelled rows: :data:`TRAIN_ROWS` elements by the hash of
+their id, of a document at most :data:`TRAIN_PER_DOC`; labels may be wrong in a minority. Everything
+else covers all rows. Rows without document or text have no part; a document without any known text has
+no language.
 """
 
 from __future__ import annotations
@@ -23,11 +30,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.forms import consistent
-from quire.session import cut, shipped
+from quire.operators.joins import join_small
+from quire.session import cut, shipped, stored
 
 # Spellings of the languages, by code, first part of a tag, or name.
 SPELLINGS = {
@@ -44,13 +52,23 @@ SPELLINGS = {
 LANGUAGES = tuple(SPELLINGS)
 #: Elements that the profiles are fitted on, over all languages.
 TRAIN_ROWS = 60_000
+TRAIN_PER_DOC = 64
 #: N-grams of a profile, and their greatest length.
 PROFILE = 3000
 LONGEST = 5
+#: Most frequent n-grams of a document, ranks of a profile that they are held against, and n-grams of a passage.
+TOP, SIZE, PASSAGE = 400, 1000, 300
+#: Greatest distance of a document's and of a passage's language, and a passage's least lead over the second.
+DOC_FIT, PASSAGE_FIT, PASSAGE_LEAD = 0.75, 0.4, 0.03
+#: Greatest mean depth of the words of a candidate, as a share of the profile.
+SUM_FIT = 0.36
+#: Rows of a document up to which it is one group.
+GROUP_ROWS = 1024
 MIN_WORDS = 4
-#: Greatest distance of a known language, as a share of the profile's length, and least lead.
-FIT, LEAD = 0.36, 0.02
+#: Share of the first two distances that belongs to the second from which a document is clearly in one language.
+ONE = 0.6
 _LETTERS = regex.compile(r"\p{L}+")
+_CODE = regex.compile(r"(?<!\p{L})\p{Lu}{2,}(?!\p{L})")
 _BREAK = regex.compile(r"(?<=[.!?])[\"”»“’)]*\s+|\n")
 _FULL = regex.compile(r"[.!?][\"”»“’)]*$")
 
@@ -94,87 +112,201 @@ class Profiles:
         self.languages = sorted(profiles)
         grams = sorted({g for p in profiles.values() for g in p})
         self._gram = {g: i for i, g in enumerate(grams)}
-        self._ranks = np.full((len(grams) + 1, len(self.languages)), PROFILE, np.int32)
+        self._ranks = np.full((len(grams), len(self.languages)), PROFILE, np.int32)
         for k, lang in enumerate(self.languages):
             for rank, g in enumerate(profiles[lang]):
                 self._ranks[self._gram[g], k] = rank
-        self._words: dict[str, int] = {}
+        self._common = self._ranks.min(1) if self.languages else np.zeros(0, np.int32)
+        self._numbers: dict[str, int] = {}
+        self._grams: list[np.ndarray] = []
         self._table = np.zeros((1 << 12, len(self.languages)), np.float32)
 
+    def numbers(self, words: list[str]) -> list[int]:
+        """Numbers of words, valid until :meth:`renew`."""
+        known = self._numbers
+        return [known[w] if w in known else self._word(w) for w in words]
+
+    def renew(self) -> None:
+        """Forget the words if they have become many, so that the look-up stays bounded."""
+        if len(self._numbers) > 500_000:
+            self._numbers.clear()
+            self._grams.clear()
+
     def _word(self, word: str) -> int:
-        number = self._words[word] = len(self._words)
+        number = self._numbers[word] = len(self._grams)
         if number >= len(self._table):
             self._table = np.r_[self._table, np.zeros_like(self._table)]
-        own = _ordered(Counter(_grams(word)))
-        ranks = self._ranks[[self._gram.get(g, -1) for g in own]]
-        self._table[number] = np.abs(np.where(ranks < PROFILE, ranks - np.arange(len(own))[:, None], PROFILE)).mean(0) / PROFILE
+        every = _grams(word)
+        self._grams.append(np.array([self._gram[g] for g in every if g in self._gram], np.int64))
+        ranks = self._ranks[self._grams[number]]
+        self._table[number] = (ranks.sum(0) + PROFILE * (len(every) - len(ranks))) / (PROFILE * len(every))
         return number
 
-    def distances(self, sentences: list[list[str]]) -> np.ndarray:
-        """A row for each sentence, which has at least one word."""
-        if len(self._words) > 500_000:  # the look-up stays bounded
-            self._words.clear()
-        known = self._words
-        ids, starts = [], []
-        for words in sentences:
-            starts.append(len(ids))
-            ids += [known[w] if w in known else self._word(w) for w in words]
-        total = np.add.reduceat(self._table[ids], starts) if ids else np.zeros((0, len(self.languages)))
-        return total / np.array([[len(s)] for s in sentences] or np.zeros((0, 1)))
+    def counts(self, numbers: list[int]) -> np.ndarray:
+        """How often each n-gram of the profiles occurs in the words."""
+        words, n = np.unique(np.array(numbers, np.int64), return_counts=True)
+        grams = [self._grams[w] for w in words]
+        if not grams:
+            return np.zeros(len(self._gram), np.int64)
+        return np.bincount(np.concatenate(grams), np.repeat(n, [len(g) for g in grams]), len(self._gram)).astype(np.int64)
+
+    def distance(self, grams: np.ndarray, n: np.ndarray, top: int, size: int) -> np.ndarray:
+        """Out-of-place distance of n-grams with their counts to every language, from 0 to 1."""
+        grams = grams[np.lexsort((grams, self._common[grams], -n))[:top]]
+        ranks = self._ranks[grams]
+        return np.where(ranks < size, np.minimum(np.abs(ranks - np.arange(len(grams))[:, None]), size), size).mean(0) / size if len(grams) else np.ones(len(self.languages))
+
+    def passage(self, numbers: list[int]) -> np.ndarray:
+        grams, n = np.unique(np.concatenate([self._grams[i] for i in numbers]), return_counts=True)
+        return self.distance(grams, n, PASSAGE, PROFILE)
+
+    def votes(self, passages: list[list[int]]) -> np.ndarray:
+        """Words of the sentences that lie nearest to each language."""
+        return np.bincount(self.sums(passages).argmin(1), [len(p) for p in passages], len(self.languages)) if passages else np.zeros(len(self.languages))
+
+    def sums(self, passages: list[list[int]]) -> np.ndarray:
+        """The mean over the words of each passage of how deep in the profiles their n-grams lie; for choosing candidates."""
+        starts = np.cumsum([0, *map(len, passages)])[:-1]
+        total = np.add.reduceat(self._table[np.concatenate(passages)], starts)
+        return total / np.array([[len(p)] for p in passages])
 
 
 def sentences_of(text: str) -> list[tuple[list[str], bool]]:
-    """Words of each sentence or line in lower case, and whether it is a full sentence."""
+    """Words of each sentence or line in lower case, and whether it is a full sentence.
+
+    Words in capitals, of two letters or more, are codes and left out, unless all of it is in capitals.
+    """
     out = []
     for s in _BREAK.split(consistent(text)):
-        words = _LETTERS.findall(s.lower())
+        words = _LETTERS.findall((s if s.isupper() else _CODE.sub(" ", s)).lower())
         if words:
             out.append((words, len(words) >= MIN_WORDS and _FULL.search(s) is not None))
     return out
 
 
-def _judge(profiles: dict[str, list[str]]):
+def _best(distances: np.ndarray, fit: float) -> tuple[int, float] | None:
+    """The nearest language and the confidence in it."""
+    order = np.argsort(distances, kind="stable")
+    one = distances[order[0]]
+    if one > fit:
+        return None
+    two = distances[order[1]] if len(order) > 1 else 1.0
+    return int(order[0]), float(two / (one + two)) if one + two else 0.5
+
+
+def _foreign(judge: Profiles, main: int, passages: list[list[int]]) -> dict[int, float]:
+    """Languages of the passages that are in another one than ``main``, with the highest confidence."""
+    found: dict[int, float] = {}
+    if not passages:
+        return found
+    sums = judge.sums(passages)
+    nearest = sums.argmin(1)
+    for i in np.flatnonzero((nearest != main) & (sums.min(1) <= SUM_FIT)):
+        d = judge.passage(passages[i])
+        best = _best(d, PASSAGE_FIT)
+        if best and best[0] == nearest[i] and np.partition(d, 1)[1] - d[best[0]] >= PASSAGE_LEAD:
+            found[best[0]] = max(found.get(best[0], 0.0), best[1])
+    return found
+
+
+def _main(judge: Profiles, grams: np.ndarray, n: np.ndarray, votes: np.ndarray) -> tuple[int, float] | None:
+    """The language of a document and the confidence in it."""
+    distances = judge.distance(grams, n, TOP, SIZE)
+    best = _best(distances, DOC_FIT)
+    if best and best[1] < ONE and len(distances) > 1:
+        two = np.argsort(distances, kind="stable")[:2]
+        return int(two[votes[two].argmax()]), best[1]
+    return best
+
+
+_OUT = "doc string, id bigint, lang string, confidence double"
+
+
+def _documents(profiles: dict[str, list[str]]):
+    """Of whole documents: a row without id for the document, and one for each element and foreign language."""
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Profiles(profiles)
         for part in parts:
-            row, words, full = [], [], []
-            for i, text in enumerate(part["text"]):
-                for w, f in sentences_of(text):
-                    row.append(i)
-                    words.append(w)
-                    full.append(f)
-            if not row or not judge.languages:
-                continue
-            d = judge.distances(words)
-            two = np.argsort(d, axis=1, kind="stable")[:, :2]
-            best = np.take_along_axis(d, two, 1)
-            lead = best[:, 1] - best[:, 0] if d.shape[1] > 1 else 1 - best[:, 0]
-            known = (best[:, 0] <= FIT) & (lead >= LEAD)
-            s = pd.DataFrame({"row": row, "k": two[:, 0], "words": [len(w) for w in words], "full": full, "lead": np.where(full, lead, 0.0)})[known]
-            s = s.groupby(["row", "k"], as_index=False, sort=False).agg({"words": "sum", "full": "max", "lead": "max"})
-            names = np.array(judge.languages, dtype=object)
-            yield pd.DataFrame({"doc": part["doc"].to_numpy()[s["row"]], "id": part["id"].to_numpy()[s["row"]], "lang": names[s["k"]], "words": s["words"].to_numpy(), "full": s["full"].to_numpy(), "lead": s["lead"].to_numpy()})
+            out = []
+            for doc, rows in zip(part["doc"], part["rows"]):
+                judge.renew()
+                every, full = [], []
+                for row in rows:
+                    found = [(judge.numbers(words), whole) for words, whole in sentences_of(row["text"])]
+                    every += [numbers for numbers, _ in found]
+                    full.append((row["id"], [numbers for numbers, whole in found if whole]))
+                counts = judge.counts([w for numbers in every for w in numbers])
+                grams = np.flatnonzero(counts)
+                best = _main(judge, grams, counts[grams], judge.votes(every)) if judge.languages else None
+                if best:
+                    main = best[0]
+                    out.append((doc, None, judge.languages[main], best[1]))
+                    out += [(doc, i, judge.languages[k], c) for i, passages in full for k, c in _foreign(judge, main, passages).items()]
+            yield pd.DataFrame(out, columns=["doc", "id", "lang", "confidence"]).astype({"id": "Int64"})
 
     return run
 
 
-def passages(elements: DataFrame, labels: DataFrame) -> DataFrame:
-    """Languages of each element: ``doc``, ``id``, ``lang``, ``words``, ``full`` (has a full sentence), ``lead``.
+def _counted(profiles: dict[str, list[str]]):
+    """N-grams of each document in a batch of rows; below zero, the words of the sentences nearest to each language."""
 
-    ``labels`` has ``doc`` and ``lang`` as found; the profiles are fitted with it.
-    """
-    rows = elements.filter(F.col("doc").isNotNull() & F.col("text").isNotNull()).select("doc", F.col("element_id").alias("id"), "text")
-    share = min(1.0, TRAIN_ROWS / max(rows.count(), 1))
-    chosen = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40)))
-    named = labels.select("doc", language_code(F.col("lang")).alias("lang")).filter(F.col("lang").isNotNull()).dropDuplicates(["doc"])
-    profiles = fit_profiles(chosen.join(named, "doc").select("lang", "text"))
-    return shipped(rows).mapInPandas(_judge(profiles), "doc string, id bigint, lang string, words bigint, full boolean, lead double")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Profiles(profiles)
+        for part in parts:
+            for doc, texts in part.groupby("doc")["text"]:
+                judge.renew()
+                every = [judge.numbers(words) for t in texts for words, _ in sentences_of(t)]
+                counts, votes = judge.counts([w for numbers in every for w in numbers]), judge.votes(every)
+                grams = np.flatnonzero(counts)
+                yield pd.DataFrame({"doc": doc, "gram": np.r_[grams, -1 - np.arange(len(votes))], "n": np.r_[counts[grams], votes.astype(np.int64)]})
+
+    return run
+
+
+def _settled(profiles: dict[str, list[str]]):
+    """The language of documents whose n-grams have been summed."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Profiles(profiles)
+        for part in parts:
+            out = []
+            for doc, grams, n in zip(part["doc"], part["grams"], part["n"]):
+                grams, n = np.asarray(grams, np.int64), np.asarray(n)
+                votes = np.zeros(len(judge.languages))
+                votes[-1 - grams[grams < 0]] = n[grams < 0]
+                best = _main(judge, grams[grams >= 0], n[grams >= 0], votes) if judge.languages else None
+                if best:
+                    out.append((doc, judge.languages[best[0]], best[1]))
+            yield pd.DataFrame(out, columns=["doc", "main", "confidence"])
+
+    return run
 
 
-def main_languages(found: DataFrame) -> DataFrame:
-    """``doc``, ``main`` and ``confidence`` from :func:`passages`; ties go to the first code."""
-    words = found.groupBy("doc", "lang").agg(F.sum("words").alias("n"))
-    return words.groupBy("doc").agg(F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias("main"), (F.max("n") / F.sum("n")).alias("confidence"))
+def _beside(profiles: dict[str, list[str]]):
+    """Foreign passages of rows that carry their document's language."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        judge = Profiles(profiles)
+        for part in parts:
+            out = []
+            for doc, i, text, main in zip(part["doc"], part["id"], part["text"], part["main"]):
+                judge.renew()
+                passages = [judge.numbers(words) for words, whole in sentences_of(text) if whole]
+                out += [(doc, i, judge.languages[k], c) for k, c in _foreign(judge, judge.languages.index(main), passages).items()]
+            yield pd.DataFrame(out, columns=["doc", "id", "lang", "confidence"]).astype({"id": "Int64"})
+
+    return run
+
+
+def fitted(rows: DataFrame, labels: DataFrame) -> dict[str, list[str]]:
+    """Profiles from the labelled ones of ``rows`` (``doc``, ``id``, ``text``); bounded by rows and by rows of a document."""
+    share = min(1.0, TRAIN_ROWS / max(rows.count(), 1))
+    key = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    named = labels.select("doc", language_code(F.col("lang")).alias("lang")).filter(F.col("lang").isNotNull()).dropDuplicates(["doc"])
+    chosen = rows.filter(key < int(share * (1 << 40))).join(named, "doc")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(key, "text"))
+    return fit_profiles(chosen.withColumn("_place", place).filter(F.col("_place") <= TRAIN_PER_DOC).select("lang", "text"))
 
 
 def judged(elements: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,9 +317,19 @@ def judged(elements: DataFrame, corpus: DataFrame) -> tuple[DataFrame, DataFrame
     Segments: ``element_id``, ``doc``, ``lang`` and ``confidence``; one for each element and language
     with a full sentence in another language than the document's.
     """
-    found = cut(passages(elements, corpus))
-    main = cut(main_languages(found))
+    rows = elements.filter(F.col("doc").isNotNull() & F.col("text").isNotNull()).select("doc", F.col("element_id").alias("id"), "text")
+    profiles = fitted(rows, corpus)
+    large = cut(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS).select("doc"))
+    groups = join_small(rows, large, "doc", "left_anti").groupBy("doc").agg(F.collect_list(F.struct("id", "text")).alias("rows"))
+    small = stored(shipped(groups).mapInPandas(_documents(profiles), _OUT))
+    spread = join_small(rows, large, "doc", "left_semi")
+    grams = shipped(spread).mapInPandas(_counted(profiles), "doc string, gram bigint, n bigint").groupBy("doc", "gram").agg(F.sum("n").alias("n"))
+    # At most as many n-grams as the profiles have.
+    listed = grams.groupBy("doc").agg(F.collect_list("gram").alias("grams"), F.collect_list("n").alias("n"))
+    mains = cut(listed.mapInPandas(_settled(profiles), "doc string, main string, confidence double"))
+    beside = join_small(rows, mains.select("doc", "main"), "doc").mapInPandas(_beside(profiles), _OUT)
+    main = small.filter("id is null").select("doc", F.col("lang").alias("main"), "confidence").unionByName(mains)
+    found = small.filter("id is not null").unionByName(beside)
     label = corpus.select("corpus_id", "doc", language_code(F.col("lang")).alias("label")).join(main, "doc")
     labels = label.select("corpus_id", "doc", "label", F.col("main").alias("lang"), "confidence")
-    other = found.filter("full").join(main.select("doc", "main"), "doc").filter(F.col("lang") != F.col("main"))
-    return labels, other.select(F.col("id").alias("element_id"), "doc", "lang", F.col("lead").alias("confidence"))
+    return labels, found.select(F.col("id").alias("element_id"), "doc", "lang", "confidence")

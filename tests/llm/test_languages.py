@@ -60,8 +60,44 @@ def test_held_out_sentences():
         grams[lang] = languages._ordered(counts)[: languages.PROFILE]
     judge = Profiles(grams)
     for lang, texts in TEXTS.items():
-        d = judge.distances([sentences_of(texts[3])[0][0]])
-        assert judge.languages[d[0].argmin()] == lang
+        words = judge.numbers(sentences_of(texts[3])[0][0])
+        counts = judge.counts(words)
+        some = languages.np.flatnonzero(counts)
+        for d in (judge.passage(words), judge.distance(some, counts[some], languages.TOP, languages.SIZE), judge.sums([words])[0]):
+            assert judge.languages[d.argmin()] == lang
+
+
+def test_distance_is_out_of_place():
+    judge = Profiles({"a": ["x", "y", "z"], "b": ["z", "y"]})
+    order = [judge._gram[g] for g in "xyz"]
+    n = languages.np.array([5, 9, 1])
+    got = judge.distance(languages.np.array(order), n, 10, 3)  # y, x, z
+    assert got.tolist() == pytest.approx([(1 + 1 + 0) / 9, (1 + 3 + 2) / 9])
+
+
+def test_large_documents_are_judged_like_small_ones(spark, monkeypatch):
+    """The same rows with documents of one group, and with counts that are summed."""
+    elements, corpus, n = [], [], 0
+    for lang, texts in TEXTS.items():
+        corpus.append((n, lang, lang, ""))
+        for k in range(12):
+            n += 1
+            other = TEXTS["fra" if lang != "fra" else "eng"][k % 4] if k % 5 == 0 else ""
+            elements.append((n, lang, texts[k % 4] + " " + other, "", ""))
+    e, c = spark.createDataFrame(elements, E_SCHEMA), spark.createDataFrame(corpus, C_SCHEMA)
+    one = [sorted(map(tuple, d.collect())) for d in judged(e, c)]
+    monkeypatch.setattr(languages, "GROUP_ROWS", 5)
+    two = [sorted(map(tuple, d.collect())) for d in judged(e, c)]
+    assert one == two and len(one[1]) == 12
+
+
+def test_mixed_documents_are_in_the_language_of_most_words(spark):
+    elements = [(k, f"{lang}{d}", t, "", "") for d in range(3) for lang, ts in TEXTS.items() for k, t in enumerate(ts)]
+    elements += [(100 + k, "mixed", t, "", "") for k, t in enumerate(TEXTS["deu"][:3] + TEXTS["eng"][:4])]
+    corpus = [(k, f"{lang}{d}", lang, "") for d in range(3) for k, lang in enumerate(TEXTS)] + [(99, "mixed", None, "")]
+    labels, segments = judged(spark.createDataFrame(elements, E_SCHEMA), spark.createDataFrame(corpus, C_SCHEMA))
+    assert [r.lang for r in labels.collect() if r.doc == "mixed"] == ["eng"]
+    assert sorted(r.element_id for r in segments.collect() if r.doc == "mixed") == [100, 101, 102]
 
 
 def test_empty_tables(spark):
