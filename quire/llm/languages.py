@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -160,10 +161,6 @@ class Profiles:
         grams, n = np.unique(np.concatenate([self._grams[i] for i in numbers]), return_counts=True)
         return self.distance(grams, n, PASSAGE, PROFILE)
 
-    def votes(self, passages: list[list[int]]) -> np.ndarray:
-        """Words of the sentences that lie nearest to each language."""
-        return np.bincount(self.sums(passages).argmin(1), [len(p) for p in passages], len(self.languages)) if passages else np.zeros(len(self.languages))
-
     def sums(self, passages: list[list[int]]) -> np.ndarray:
         """The mean over the words of each passage of how deep in the profiles their n-grams lie; for choosing candidates."""
         starts = np.cumsum([0, *map(len, passages)])[:-1]
@@ -194,19 +191,30 @@ def _best(distances: np.ndarray, fit: float) -> tuple[int, float] | None:
     return int(order[0]), float(two / (one + two)) if one + two else 0.5
 
 
-def _foreign(judge: Profiles, main: int, passages: list[list[int]]) -> dict[int, float]:
-    """Languages of the passages that are in another one than ``main``, with the highest confidence."""
-    found: dict[int, float] = {}
-    if not passages:
-        return found
-    sums = judge.sums(passages)
+def _foreign(judge: Profiles, main: int, passages: list[list[int]], whole: list[bool], sums: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """Of full sentences in another language than ``main``: their place, language and confidence."""
     nearest = sums.argmin(1)
-    for i in np.flatnonzero((nearest != main) & (sums.min(1) <= SUM_FIT)):
+    for i in np.flatnonzero((nearest != main) & (sums.min(1) <= SUM_FIT) & np.array(whole, bool)):
         d = judge.passage(passages[i])
         best = _best(d, PASSAGE_FIT)
         if best and best[0] == nearest[i] and np.partition(d, 1)[1] - d[best[0]] >= PASSAGE_LEAD:
-            found[best[0]] = max(found.get(best[0], 0.0), best[1])
-    return found
+            yield int(i), best[0], best[1]
+
+
+def _rows(judge: Profiles, texts: list[str]) -> tuple[list[int], list[list[int]], list[bool]]:
+    """The sentences of texts: the place of their text, their words, and whether they are full."""
+    row, passages, whole = [], [], []
+    for i, text in enumerate(texts):
+        for words, full in sentences_of(text):
+            row.append(i)
+            passages.append(judge.numbers(words))
+            whole.append(full)
+    return row, passages, whole
+
+
+def _votes(judge: Profiles, passages: list[list[int]], sums: np.ndarray) -> np.ndarray:
+    """Words of the sentences that lie nearest to each language."""
+    return np.bincount(sums.argmin(1), [len(p) for p in passages], len(judge.languages))
 
 
 def _main(judge: Profiles, grams: np.ndarray, n: np.ndarray, votes: np.ndarray) -> tuple[int, float] | None:
@@ -231,18 +239,18 @@ def _documents(profiles: dict[str, list[str]]):
             out = []
             for doc, rows in zip(part["doc"], part["rows"]):
                 judge.renew()
-                every, full = [], []
-                for row in rows:
-                    found = [(judge.numbers(words), whole) for words, whole in sentences_of(row["text"])]
-                    every += [numbers for numbers, _ in found]
-                    full.append((row["id"], [numbers for numbers, whole in found if whole]))
-                counts = judge.counts([w for numbers in every for w in numbers])
+                row, passages, whole = _rows(judge, [r["text"] for r in rows])
+                if not passages or not judge.languages:
+                    continue
+                sums, counts = judge.sums(passages), judge.counts(list(chain.from_iterable(passages)))
                 grams = np.flatnonzero(counts)
-                best = _main(judge, grams, counts[grams], judge.votes(every)) if judge.languages else None
+                best = _main(judge, grams, counts[grams], _votes(judge, passages, sums))
                 if best:
-                    main = best[0]
-                    out.append((doc, None, judge.languages[main], best[1]))
-                    out += [(doc, i, judge.languages[k], c) for i, passages in full for k, c in _foreign(judge, main, passages).items()]
+                    out.append((doc, None, judge.languages[best[0]], best[1]))
+                    found: dict[tuple[int, int], float] = {}
+                    for i, k, c in _foreign(judge, best[0], passages, whole, sums):
+                        found[row[i], k] = max(found.get((row[i], k), 0.0), c)
+                    out += [(doc, rows[i]["id"], judge.languages[k], c) for (i, k), c in found.items()]
             yield pd.DataFrame(out, columns=["doc", "id", "lang", "confidence"]).astype({"id": "Int64"})
 
     return run
@@ -256,8 +264,10 @@ def _counted(profiles: dict[str, list[str]]):
         for part in parts:
             for doc, texts in part.groupby("doc")["text"]:
                 judge.renew()
-                every = [judge.numbers(words) for t in texts for words, _ in sentences_of(t)]
-                counts, votes = judge.counts([w for numbers in every for w in numbers]), judge.votes(every)
+                _, passages, _ = _rows(judge, list(texts))
+                if not passages or not judge.languages:
+                    continue
+                counts, votes = judge.counts(list(chain.from_iterable(passages))), _votes(judge, passages, judge.sums(passages))
                 grams = np.flatnonzero(counts)
                 yield pd.DataFrame({"doc": doc, "gram": np.r_[grams, -1 - np.arange(len(votes))], "n": np.r_[counts[grams], votes.astype(np.int64)]})
 
@@ -292,8 +302,11 @@ def _beside(profiles: dict[str, list[str]]):
             out = []
             for doc, i, text, main in zip(part["doc"], part["id"], part["text"], part["main"]):
                 judge.renew()
-                passages = [judge.numbers(words) for words, whole in sentences_of(text) if whole]
-                out += [(doc, i, judge.languages[k], c) for k, c in _foreign(judge, judge.languages.index(main), passages).items()]
+                _, passages, whole = _rows(judge, [text])
+                found: dict[int, float] = {}
+                for _, k, c in _foreign(judge, judge.languages.index(main), passages, whole, judge.sums(passages)) if passages else ():
+                    found[k] = max(found.get(k, 0.0), c)
+                out += [(doc, i, judge.languages[k], c) for k, c in found.items()]
             yield pd.DataFrame(out, columns=["doc", "id", "lang", "confidence"]).astype({"id": "Int64"})
 
     return run
