@@ -46,8 +46,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_share(spark: SparkSession, folder: str) -> DataFrame:
-    """Compression band and exact share of repeated words of every document."""
-    return repeats.repetition(table(spark, folder, "elements"), measure_all=True).select("doc", "words", "band", "share")
+    """Words and exact share of repeated words of every document."""
+    return repeats.repetition(table(spark, folder, "elements"), measure_all=True).select("doc", "words", "share")
+
+
+def p4_bands(spark: SparkSession, folder: str) -> DataFrame:
+    """Compression ratios and band of every document."""
+    return repeats.repetition(table(spark, folder, "elements")).select("doc", "bytes", "ratio", "chunk_ratio", "band")
 
 
 def _judged(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -106,19 +111,24 @@ def p8_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p2_found, p2_forms, p3_found, p3_restored, p4_found, p4_share, p5_found, p5_labels, p5_segments, p6_packed, p6_fill, p7_mixture, p7_shares, p8_found, p8_labels)
+    every = (p2_found, p2_forms, p3_found, p3_restored, p4_found, p4_share, p4_bands, p5_found, p5_labels, p5_segments, p6_packed, p6_fill, p7_mixture, p7_shares, p8_found, p8_labels)
     return {q.__name__: q for q in every}
 
 
-#: p4_found without bands: every run of twelve words of every document.
-_P4 = """with l as (select * from (select *, row_number() over (partition by doc, page_number, seq order by extracted_at desc nulls last, element_id desc) as k from elements where doc is not null and text is not null) where k = 1),
+#: Words and repeated words of every document, without bands: every run of twelve words.
+_P4 = """with l as (select * from (select *, row_number() over (partition by doc, coalesce(page_number, 0), coalesce(seq, 0) order by extracted_at desc nulls last, element_id desc) as k from elements where doc is not null and text is not null) where k = 1),
 w as (select doc, page_number, seq, unnest(regexp_extract_all(lower(text), '\\p{L}+')) as word, generate_subscripts(regexp_extract_all(lower(text), '\\p{L}+'), 1) as i from l),
-n as (select doc, word, row_number() over (partition by doc order by page_number, seq, i) as pos from w),
+n as (select doc, word, row_number() over (partition by doc order by coalesce(page_number, 0), coalesce(seq, 0), i) as pos from w),
 g as (select doc, pos, string_agg(word, ' ') over r as run, count(*) over r as c from n window r as (partition by doc order by pos rows between current row and 11 following)),
 f as (select doc, pos, c = 12 and pos > min(case when c = 12 then pos end) over (partition by doc, run) as again from g),
-m as (select doc, max(case when again then pos end) over (partition by doc order by pos rows between 11 preceding and current row) is not null as marked from f)
-select doc from m group by doc having count(*) filter (where marked) > 0.25 * count(*)"""
+m as (select doc, max(case when again then pos end) over (partition by doc order by pos rows between 11 preceding and current row) is not null as marked from f),
+t as (select doc, count(*) as words, count(*) filter (where marked) as repeated from m group by doc)
+"""
+_SQL = {
+    "p4_found": _P4 + "select doc from t where repeated > 0.25 * words",
+    "p4_share": _P4 + "select d.doc, coalesce(words, 0) as words, coalesce(repeated / words, 0.0) as share from (select distinct doc from l) d left join t using (doc)",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": _P4}
+    return dict(_SQL)
