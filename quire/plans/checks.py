@@ -37,13 +37,17 @@ def toc_entries_printed(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("doc", "page_number", "line_no", "number", "title", F.col("page"), "level")
 
 
+#: Leaders that begin contents where pages are blocks of a crawled text, and so shorter than printed ones.
+_BLOCK_LEADERS = 5
+
+
 def toc_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return toc.toc_pages(_toc_lines(spark, folder))
+    return toc.toc_pages(_toc_lines(spark, folder), _BLOCK_LEADERS)
 
 
 def toc_parsed(spark: SparkSession, folder: str) -> DataFrame:
     lines = _toc_lines(spark, folder).withColumn("y", F.lit(None).cast("double"))
-    return toc.parse_toc(lines.join(toc.toc_pages(lines).select("doc", "page_number"), ["doc", "page_number"], "left_semi"))
+    return toc.parse_toc(lines.join(toc.toc_pages(lines, _BLOCK_LEADERS).select("doc", "page_number"), ["doc", "page_number"], "left_semi"))
 
 
 def toc_matches(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,14 +220,30 @@ _GRADES = """g as (select * from (select *, row_number() over (partition by doc,
   s as (select doc, page_number, issues, round(greatest(0.0, 1 - 0.3 * len(list_distinct(coalesce(issues, [])))), 3) as score from g)"""
 _DOCS = f"with {_GRADES} select doc, round(avg(score), 3) as score, count(*) as pages, array_to_string(list_sort(list_distinct(flatten(list(coalesce(issues, []))))), ',') as issues from s group by doc"
 _AREA = "(greatest(0.0, {0}[3] - {0}[1]) * greatest(0.0, {0}[4] - {0}[2]))"
+_TPAGES = rf"""p as (select doc, page_number, count(*) filter (where regexp_matches(trim(line), '{toc.LEADER_END}')) as leaders, count(*) filter (where regexp_matches(trim(line), '{toc.BARE}')) as bare, count(*) as n from tl where page_number <= 20 and trim(line) <> '' group by doc, page_number),
+  pf as (select *, min(case when leaders >= {_BLOCK_LEADERS} then page_number end) over (partition by doc) as first from p), pr as (select *, row_number() over (partition by doc order by page_number) as k from pf where page_number >= first),
+  po as (select *, (leaders >= {_BLOCK_LEADERS} or (leaders >= 3 and (leaders + bare) / n >= 0.3)) and page_number = first + k - 1 as ok from pr),
+  pages as (select doc, page_number, leaders from (select *, max(case when ok then 0 else 1 end) over (partition by doc order by page_number) as broken from po) where broken = 0)"""
 SQL = {
     "toc_entries_printed": rf"""with {_TLINES}, l as (select *, regexp_extract(line, '{toc.LEADER_LINE}', 1) as title_part, try_cast(regexp_extract(line, '{toc.LEADER_LINE}', 2) as int) as page from tl where regexp_matches(line, '{toc.LEADER_END}')),
   n as (select *, nullif(regexp_extract(trim(title_part), '^(\d+(?:\.\d+)*\.?)\s+(.+)$', 1), '') as number from l)
   select doc, page_number, line_no, number, trim(regexp_extract(trim(title_part), '^(\d+(?:\.\d+)*\.?)\s+(.+)$', 2)) as title, page, cast(len(string_split(rtrim(number, '.'), '.')) as int) as level from n where number is not null""",
-    "toc_pages": rf"""with {_TLINES}, p as (select doc, page_number, count(*) filter (where regexp_matches(trim(line), '{toc.LEADER_END}')) as leaders, count(*) filter (where regexp_matches(trim(line), '^(\d+(?:\.\d+)*\.?)$')) as bare, count(*) as n from tl where page_number <= 20 and trim(line) <> '' group by doc, page_number),
-  f as (select *, min(case when leaders >= 15 then page_number end) over (partition by doc) as first from p), r as (select *, row_number() over (partition by doc order by page_number) as k from f where page_number >= first),
-  o as (select *, (leaders >= 15 or (leaders >= 3 and (leaders + bare) / n >= 0.3)) and page_number = first + k - 1 as ok from r)
-  select doc, page_number, leaders from (select *, max(case when ok then 0 else 1 end) over (partition by doc order by page_number) as broken from o) where broken = 0""",
+    "toc_pages": rf"""with {_TLINES}, {_TPAGES} select doc, page_number, leaders from pages""",
+    # Heights are unknown, so a closing is a leader or the last number of a title.
+    "toc_parsed": rf"""with {_TLINES}, {_TPAGES},
+  qa as (select tl.doc, tl.page_number, tl.line_no, trim(line) as s from tl join pages using (doc, page_number) where trim(line) <> ''),
+  qb as (select *, row_number() over p as ln, regexp_matches(s, '{toc.LEADER_LINE}') as leader, trim(regexp_extract(s, '{toc.LEADER_LINE}', 1)) as lft, try_cast(regexp_extract(s, '{toc.LEADER_LINE}', 2) as int) as target from qa window p as (partition by doc, page_number order by line_no)),
+  qc as (select *, case when leader then lft else s end as subject from qb),
+  qd as (select *, case when regexp_matches(subject, '{toc.NUMBERED}') then regexp_extract(subject, '{toc.NUMBERED}', 1) when not leader and regexp_matches(s, '{toc.BARE}') then s end as number, case when regexp_matches(subject, '{toc.NUMBERED}') then trim(regexp_extract(subject, '{toc.NUMBERED}', 2)) end as title from qc),
+  qw as (select x.*, (select arg_min(struct_pack(k := y.ln, t := y.target, l := y.lft), y.ln) from qd y where y.doc = x.doc and y.page_number = x.page_number and y.ln between x.ln + 1 and x.ln + 4 and (y.leader or y.number is not null)) as nxt from qd x),
+  qe as (select *, case when leader and number is not null then struct_pack(title := title, page := target, k := 1)
+    when not leader and number is not null and nxt is not null and (select leader and number is null from qd y where y.doc = w.doc and y.page_number = w.page_number and y.ln = w.nxt.k)
+    then struct_pack(title := concat_ws(' ', title, (select string_agg(s, ' ' order by ln) from qd y where y.doc = w.doc and y.page_number = w.page_number and y.ln > w.ln and y.ln < w.nxt.k), nullif(nxt.l, '')), page := nxt.t, k := cast(nxt.k - ln + 1 as int)) end as fixed from qw w),
+  qf as (select *, case when fixed is null and not leader and title is not null and regexp_matches(title, '{toc.TRAILING}') then try_cast(regexp_extract(title, '{toc.TRAILING}', 2) as int) end as last, count(fixed) over (partition by doc order by page_number, ln) as part from qe),
+  qg as (select *, case when fixed is not null then fixed when last >= coalesce(max(coalesce(fixed.page, last)) over (partition by doc, part order by page_number, ln rows between unbounded preceding and 1 preceding), 0) then struct_pack(title := trim(regexp_extract(title, '{toc.TRAILING}', 1)), page := last, k := 1) end as entry from qf),
+  qh as (select *, coalesce(max(ln + entry.k) over (partition by doc, page_number order by ln rows between 4 preceding and current row) > ln, false) as used from qg)
+  select doc, case when entry is not null then number end as number, entry.title as title, entry.page as page, case when entry is not null then cast(len(string_split(rtrim(number, '.'), '.')) as int) end as level, case when entry is null then s end as unparsed
+  from qh where entry is not null or (not used and ((leader and number is null) or (not leader and regexp_matches(number, '{toc.SECTION}') and regexp_matches(title, '{toc.LETTER}'))))""",
     "toc_missing": f"""with {LATEST}, e as (select entry_id, doc, {_ENTRY} as key from toc_entries), h as (select distinct doc, {heading_key_sql('text')} as key from latest where type = 'heading')
   select entry_id, doc, key from e where not exists (select 1 from h where h.doc = e.doc and h.key = e.key)""",
     "page_break_joins": rf"""with {LATEST}, body as (select * from latest where type <> 'image'),

@@ -14,17 +14,45 @@ def el(spark, rows):
     return spark.createDataFrame([tuple({"element_id": i, "doc": "d", "page_number": 1, "seq": i, "type": "paragraph"} .get(n) if n not in r else r[n] for n in names) for i, r in enumerate(rows, 1)], E)
 
 
-def test_contents_lines():
-    parse = toc.parse_lines
-    assert parse(["1 Introduction ..... 4", "2", "Scope .... 5"]) == ([("1", "Introduction", 4), ("2", "Scope", 5)], [])
-    assert parse(["3 A title that", "goes on and", "ends ... 9"]) == ([("3", "A title that goes on and ends", 9)], [])
-    assert parse(["3 One", "a", "b", "c", "d", "e .. 9"])[0] == []
-    assert parse(["8 TITLE 58", "9 OTHER 40"])[0] == [("8", "TITLE", 58)]
-    assert parse(["8 TITLE 58"], page_count=20)[0] == []
-    assert parse(["5", "TITLE", "53"], ys=[10.0, 11.0, 30.0])[0] == [("5", "TITLE", 53)]
-    assert parse(["5", "TITLE", "53"], ys=[10.0, 11.0, 11.0])[0] == []
-    assert parse(["Loose end ..... 7", "4.1 Numbered"]) == ([], ["Loose end ..... 7", "4.1 Numbered"])
-    assert parse([]) == ([], [])
+CONTENTS = {
+    "leaders": (["1 Introduction ..... 4", "2", "Scope .... 5"], None, None, [("1", "Introduction", 4), ("2", "Scope", 5)], []),
+    "wrapped": (["3 A title that", "goes on and", "ends ... 9"], None, None, [("3", "A title that goes on and ends", 9)], []),
+    "wrapped bare": (["3", "A title", "goes on", "and on", "ends ... 9"], None, None, [("3", "A title goes on and on ends", 9)], []),
+    "wrapped too far": (["3 One", "a", "b", "c", "d", "e .. 9"], None, None, [], ["3 One", "e .. 9"]),
+    "next entry closes nothing": (["3 One", "4 Two .. 9"], None, None, [("4", "Two", 9)], ["3 One"]),
+    "last numbers": (["8 TITLE 58", "9 OTHER 40", "10 MORE 58", "11 Part ... 3", "12 LOW 2", "13 HIGH 7", "14 LOW 6"], None, None, [("8", "TITLE", 58), ("10", "MORE", 58), ("11", "Part", 3), ("13", "HIGH", 7)], ["9 OTHER 40", "12 LOW 2", "14 LOW 6"]),
+    "pages end": (["8 TITLE 58"], None, 20, [], ["8 TITLE 58"]),
+    "lone page": (["5", "TITLE", "53"], [10.0, 11.0, 30.0], None, [("5", "TITLE", 53)], []),
+    "lone page of a titled line": (["5 TITLE", "53", "6 NEXT .. 60"], [10.0, 20.0, 30.0], None, [("5", "TITLE", 53), ("6", "NEXT", 60)], []),
+    "lone page opens nothing": (["5 TITLE", "53", "Scope .... 5"], [10.0, 20.0, 30.0], None, [("5", "TITLE", 53)], ["Scope .... 5"]),
+    "page not alone": (["5", "TITLE", "53"], [10.0, 11.0, 11.0], None, [], ["5", "53"]),
+    "beside": (["8", "TITLE 58"], [10.0, 11.0], None, [("8", "TITLE", 58)], []),
+    "beside, heights unknown": (["8", "TITLE 58"], None, None, [], []),
+    "loose": (["Loose end ..... 7", "4.1 Numbered", "2 ( 1 2 )", "", "1234 Document"], None, None, [], ["Loose end ..... 7", "4.1 Numbered"]),
+    "trailing dots": (["2. Scope .... 5", "2.1. More .... 6"], None, None, [("2.", "Scope", 5), ("2.1.", "More", 6)], []),
+    "nothing": ([], None, None, [], []),
+    "numbers beyond any page": (["1 A ..... 99999999999", "2 B 99999999999"], None, None, [], ["1 A ..... 99999999999", "2 B 99999999999"]),
+}
+
+
+def test_contents_lines(spark):
+    rows = [(doc, 1, i, x, ys[i] if ys else None, count) for doc, (lines, ys, count, _, _) in CONTENTS.items() for i, x in enumerate(lines)]
+    df = spark.createDataFrame(rows, "doc string, page_number int, line_no int, line string, y double, page_count int")
+    got = toc.parse_toc(df).collect()
+    for doc, (_, _, _, entries, unparsed) in CONTENTS.items():
+        mine = [r for r in got if r.doc == doc]
+        assert sorted((r.number, r.title, r.page) for r in mine if r.number) == sorted(entries), doc
+        assert sorted(r.unparsed for r in mine if r.unparsed) == sorted(unparsed), doc
+    assert {r.level for r in got if r.doc == "trailing dots"} == {1, 2}
+
+
+def test_contents_pages_go_on(spark):
+    """The page before counts on the next page; nothing else does."""
+    rows = [("d", 1, 0, "1 FIRST 9"), ("d", 1, 1, "2 Open"), ("d", 2, 0, "ends ... 12"), ("d", 2, 1, "3 BACK 8"), ("d", 2, 2, "4 ON 9"), ("d", 30, 0, "5 Far ... 9"), ("e", 1, 0, "3 BACK 8"), (None, 1, 0, "1 A ... 2")]
+    df = spark.createDataFrame(rows, "doc string, page_number int, line_no int, line string").withColumn("y", F.lit(None).cast("double"))
+    got = [(r.doc, r.number, r.page, r.unparsed) for r in toc.parse_toc(df).collect()]
+    assert sorted(got, key=str) == sorted([("d", "1", 9, None), ("d", None, None, "2 Open"), ("d", None, None, "ends ... 12"), ("d", None, None, "3 BACK 8"), ("d", "4", 9, None), ("e", "3", 8, None), (None, "1", 2, None)], key=str)
+    assert toc.parse_toc(df.limit(0)).collect() == []
 
 
 def test_contents_pages(spark):
@@ -44,6 +72,20 @@ def test_closest_heading_is_taken_once(spark):
     assert got == {1: (11, "page"), 2: (12, "page"), 3: (13, "level"), 4: (None, "missing")}
 
 
+def test_headings_are_taken_in_turn_like_by_hand(spark):
+    rnd = random.Random(7)
+    entries = [(i, "d", None, rnd.choice("abc"), rnd.choice([None, *range(1, 9)]), 1) for i in range(40)]
+    heads = [(100 + i, "d", rnd.choice("abc"), rnd.randrange(1, 9), 1) for i in range(40)]
+    got = toc.match_headings(spark.createDataFrame(entries, "entry_id bigint, doc string, number string, title string, page int, level int"), spark.createDataFrame(heads, "element_id bigint, doc string, text string, page_number int, level int"))
+    want, free = {}, sorted(heads, key=lambda h: (h[3], h[0]))
+    for e in entries:
+        best = min((h for h in free if h[2] == e[3]), key=lambda h: abs(h[3] - (e[4] or 0)), default=None)
+        want[e[0]] = best and best[0]
+        if best:
+            free.remove(best)
+    assert {r.entry_id: r.element_id for r in got.collect()} == want
+
+
 def test_running_lines_and_strip(spark):
     rows = []
     for p in range(1, 11):
