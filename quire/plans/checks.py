@@ -9,6 +9,7 @@ from quire.functions import geometry
 from quire.functions.text import heading_key
 from quire.operators import elements as ops
 from quire.operators import gates, grades, layout, nested, page_breaks, toc
+from quire.plans import planted
 from quire.plans.texts import LATEST, heading_key_sql, join_sql
 from quire.sources.tables import table
 
@@ -19,10 +20,16 @@ def _now(spark: SparkSession, folder: str) -> DataFrame:
     return ops.latest(table(spark, folder, "elements"))
 
 
-def _first(spark: SparkSession, folder: str) -> DataFrame:
+def _all(spark: SparkSession, folder: str) -> DataFrame:
+    """Current elements, and planted ones."""
+    return ops.latest(planted.elements(spark, folder))
+
+
+def _first(spark: SparkSession, folder: str, source: DataFrame | None = None) -> DataFrame:
     """Of each place the row extracted first."""
+    source = table(spark, folder, "elements") if source is None else source
     order = Window.partitionBy("doc", "page_number", "seq").orderBy(F.col("extracted_at").asc_nulls_first(), "element_id")
-    return table(spark, folder, "elements").filter("doc is not null").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return source.filter("doc is not null").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
 def _toc_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,7 +74,7 @@ def page_break_joins(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def table_chains(spark: SparkSession, folder: str) -> DataFrame:
-    return page_breaks.table_chains(_now(spark, folder))
+    return page_breaks.table_chains(_all(spark, folder))
 
 
 def empty_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,11 +90,11 @@ def large_regions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def orphan_captions(spark: SparkSession, folder: str) -> DataFrame:
-    return gates.orphan_captions(_now(spark, folder))
+    return gates.orphan_captions(_all(spark, folder))
 
 
 def tables_as_figures(spark: SparkSession, folder: str) -> DataFrame:
-    return gates.tables_as_figures(_now(spark, folder))
+    return gates.tables_as_figures(_all(spark, folder))
 
 
 def figures_incomplete(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,12 +102,12 @@ def figures_incomplete(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def number_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return gates.number_levels(_now(spark, folder))
+    return gates.number_levels(_all(spark, folder))
 
 
 def coverage_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Pages whose body on its best tier lacks words that were extracted there."""
-    current = ops.mark_best(ops.latest(table(spark, folder, "elements"), spread=True))
+    current = ops.mark_best(ops.latest(planted.elements(spark, folder), spread=True))
     return gates.uncovered(gates.kept_words(current, "best"))
 
 
@@ -150,11 +157,11 @@ def cell_f1(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def missing_words(spark: SparkSession, folder: str) -> DataFrame:
-    return grades.missing_words(gates.page_words(_first(spark, folder)), gates.page_words(_now(spark, folder)))
+    return grades.missing_words(gates.page_words(_first(spark, folder, planted.elements(spark, folder))), gates.page_words(_all(spark, folder)))
 
 
 def dropped_units(spark: SparkSession, folder: str) -> DataFrame:
-    return grades.dropped_units(_first(spark, folder).filter("text is not null"), _now(spark, folder))
+    return grades.dropped_units(_first(spark, folder, planted.elements(spark, folder)).filter("text is not null"), _all(spark, folder))
 
 
 def headings_missing(spark: SparkSession, folder: str) -> DataFrame:
@@ -256,17 +263,17 @@ SQL = {
   r as (select *, sum(case when chained then 0 else 1 end) over (partition by doc order by page_number) as run from c), k as (select *, row_number() over (partition by doc, run order by page_number) as k from r)
   select doc, page_number, lid as element_id, nid as joined_id, md5({join_sql('ltext', 'ntext')}) as digest from k where able and k % 2 = 1""",
     "empty_pages": "select distinct doc, page_number from grade_shards g where not exists (select 1 from elements e where e.doc = g.doc and e.page_number = g.page_number and type <> 'image') and doc is not null and page_number is not null",
-    "orphan_captions": rf"""with {LATEST}, k as (select *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as key, trim(regexp_replace(lower(caption), '\s+', ' ', 'g')) as ckey from latest)
-  select element_id, doc, page_number, text from k where type = 'paragraph' and regexp_matches(trim(text), '(?i)^(figure|fig\.?|table)\s+\d+\.?:?(?:\s|$)') and not exists (select 1 from k i where i.type = 'image' and i.doc = k.doc and i.ckey = k.key and i.page_number - k.page_number in (0, 1))""",
-    "tables_as_figures": rf"with {LATEST} select element_id, doc, page_number, caption from latest where type = 'image' and regexp_matches(trim(caption), '(?i)^table\s+\d+\.?:?(\s|$)')",
+    "orphan_captions": planted.sql(rf"""with {LATEST}, k as (select *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as key, trim(regexp_replace(lower(caption), '\s+', ' ', 'g')) as ckey from latest)
+  select element_id, doc, page_number, text from k where type = 'paragraph' and regexp_matches(trim(text), '(?i)^(figure|fig\.?|table)\s+\d+\.?:?(?:\s|$)') and not exists (select 1 from k i where i.type = 'image' and i.doc = k.doc and i.ckey = k.key and i.page_number - k.page_number in (0, 1))"""),
+    "tables_as_figures": planted.sql(rf"with {LATEST} select element_id, doc, page_number, caption from latest where type = 'image' and regexp_matches(trim(caption), '(?i)^table\s+\d+\.?:?(\s|$)')"),
     "figures_incomplete": f"with {LATEST} select element_id, doc, page_number, 'caption or figure_text' as missing from latest where type = 'image' and trim(coalesce(caption, '')) = '' and trim(coalesce(figure_text, '')) = ''",
-    "number_levels": rf"""with {LATEST}, d as (select *, cast(len(string_split(rtrim(nullif(regexp_extract(trim(text), '^(\d{{1,3}}(?:\.\d{{1,3}})*\.?)\s+.+$', 1), ''), '.'), '.')) as int) as depth from latest where type = 'heading')
-  select element_id, doc, page_number, level, depth from d where depth <= 6 and (level is null or level <> depth)""",
-    "coverage_gate": f"""with {LATEST}, {_TIERS}, {_words('src', 'latest')}, {_words('outw', 'best')},
+    "number_levels": planted.sql(rf"""with {LATEST}, d as (select *, cast(len(string_split(rtrim(nullif(regexp_extract(trim(text), '^(\d{{1,3}}(?:\.\d{{1,3}})*\.?)\s+.+$', 1), ''), '.'), '.')) as int) as depth from latest where type = 'heading')
+  select element_id, doc, page_number, level, depth from d where depth <= 6 and (level is null or level <> depth)"""),
+    "coverage_gate": planted.sql(f"""with {LATEST}, {_TIERS}, {_words('src', 'latest')}, {_words('outw', 'best')},
   both_ as (select coalesce(s.doc, o.doc) as doc, coalesce(s.page_number, o.page_number) as page_number, coalesce(s.word, o.word) as word, coalesce(s.n, 0) as src, coalesce(o.n, 0) as out_ from src s full join outw o on o.doc = s.doc and o.page_number = s.page_number and o.word = s.word),
   lent as (select doc, page_number, word, sum(spare) as lent from (select doc, word, greatest(out_ - src, 0) as spare, unnest([page_number - 1, page_number + 1]) as page_number from both_ where out_ > src) group by all),
   lack as (select b.doc, b.page_number, sum(greatest(src - out_ - coalesce(lent, 0), 0)) as missing, sum(src) as total from both_ b left join lent l on l.doc = b.doc and l.page_number = b.page_number and l.word = b.word where src > 0 group by all)
-  select doc, page_number, cast(missing as bigint) as missing, cast(total as bigint) as total from lack where missing >= 3 and missing >= 0.05 * total""",
+  select doc, page_number, cast(missing as bigint) as missing, cast(total as bigint) as total from lack where missing >= 3 and missing >= 0.05 * total"""),
     "ragged_tables": f"""with {LATEST}, r as (select element_id, doc, list_max(list_transform(rows, lambda r: len(r))) as widest, list_min(list_transform(rows, lambda r: len(r))) as narrowest, len(rows) as n_rows,
     len(list_filter(flatten(rows), lambda c: c is not null and trim(c) <> '')) / greatest(len(flatten(rows)), 1) as filled from latest where type = 'table' and len(rows) > 0) select * from r where widest <> narrowest""",
     "page_scores": f"with {_GRADES} select doc, page_number, score from s",
@@ -282,11 +289,20 @@ SQL = {
   b as (select doc, cell, count(*) as b from (select doc, unnest(flatten(rows)) as cell from latest where type = 'table') where cell is not null group by all),
   m as (select coalesce(a.doc, b.doc) as doc, coalesce(a, 0) as a, coalesce(b, 0) as b from a full join b on a.doc = b.doc and a.cell = b.cell)
   select doc, cast(sum(least(a, b)) as bigint) as both, 2 * sum(least(a, b)) / (sum(a) + sum(b)) as f1 from m group by doc""",
-    "missing_words": f"""with {LATEST}, {_FIRST}, {_words('src', 'earliest')}, {_words('outw', 'latest')}, l as (select s.* from src s left join outw o on o.doc = s.doc and o.page_number = s.page_number and o.word = s.word where o.doc is null)
-  select doc, page_number, count(*) as missing, array_to_string(list_sort(list(word))[1:8], ',') as first from l group by doc, page_number""",
-    "dropped_units": rf"""with {LATEST}, {_FIRST}, p as (select doc, page_number, trim(regexp_replace(lower(string_agg(text, ' ' order by seq, element_id)), '\s+', ' ', 'g')) as page from latest where text is not null group by doc, page_number),
+    # A chain goes on where a page opens with a table of as many columns between the same edges; one that is all of its page may go on again.
+    "table_chains": planted.sql(f"""with {LATEST}, body as (select * from latest where type <> 'image'), e as (select doc, page_number, arg_min(element_id, seq) as a, arg_max(element_id, seq) as z, count(*) = 1 as single from body group by doc, page_number),
+  p as (select e.doc, e.page_number, e.single, e.a, e.z, coalesce(f.type = 'table' and len(f.rows) > 0 and len(f.bbox) = 4, false) as fok, coalesce(l.type = 'table' and len(l.rows) > 0 and len(l.bbox) = 4, false) as lok, f.rows as frows, l.rows as lrows, f.bbox as fb, l.bbox as lb,
+    list_max(list_transform(f.rows, lambda r: len(r))) as fw, list_max(list_transform(l.rows, lambda r: len(r))) as lw from e join body f on f.element_id = e.a join body l on l.element_id = e.z),
+  n as (select *, coalesce(fok and lag(lok) over w and lag(page_number) over w = page_number - 1 and lag(lw) over w = fw and abs(lag(lb[1]) over w - fb[1]) <= {page_breaks.X_TOLERANCE} and abs(lag(lb[3]) over w - fb[3]) <= {page_breaks.X_TOLERANCE}, false) as on_ from p window w as (partition by doc order by page_number)),
+  o as (select *, on_ and coalesce(lag(not on_ or single) over (partition by doc order by page_number), true) as goes from n),
+  g as (select *, sum(case when goes then 0 else 1 end) over (partition by doc order by page_number) as run from o)
+  select doc, arg_min(z, page_number) as element_id, list(case when goes then a else z end order by page_number) as parts,
+    cast(sum(len(frows)) - sum(case when goes then 1 else 0 end) as bigint) as rows from g group by doc, run having count(*) > 1"""),
+    "missing_words": planted.sql(f"""with {LATEST}, {_FIRST}, {_words('src', 'earliest')}, {_words('outw', 'latest')}, l as (select s.* from src s left join outw o on o.doc = s.doc and o.page_number = s.page_number and o.word = s.word where o.doc is null)
+  select doc, page_number, count(*) as missing, array_to_string(list_sort(list(word))[1:8], ',') as first from l group by doc, page_number"""),
+    "dropped_units": planted.sql(rf"""with {LATEST}, {_FIRST}, p as (select doc, page_number, trim(regexp_replace(lower(string_agg(text, ' ' order by seq, element_id)), '\s+', ' ', 'g')) as page from latest where text is not null group by doc, page_number),
   u as (select *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as unit from earliest where text is not null)
-  select element_id, u.doc, u.page_number from u left join p on p.doc = u.doc and p.page_number = u.page_number where length(unit) >= 15 and (page is null or not contains(page, unit))""",
+  select element_id, u.doc, u.page_number from u left join p on p.doc = u.doc and p.page_number = u.page_number where length(unit) >= 15 and (page is null or not contains(page, unit))"""),
     "headings_missing": f"with {LATEST} select doc, {_ENTRY} as key, level from toc_entries except all select doc, {heading_key_sql('text')} as key, level from latest where type = 'heading'",
     "body_sizes": f"with {LATEST}, z as (select doc, round(bbox[4] - bbox[2], 1) as size, length(text) as n from latest where text is not null and bbox is not null), x as (select doc, size, unnest(range(n)) as i from z) select doc, median(size) as body_size from x group by doc",
     "size_ranks": f"with {LATEST}, z as (select distinct doc, round(bbox[4] - bbox[2], 1) as size from latest where type = 'heading' and bbox is not null) select doc, size, least(dense_rank() over (partition by doc order by size desc), 6) as level from z",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as g
 from quire.operators import blocks, figures, furniture, layout, records
 from quire.operators import elements as ops
+from quire.plans import planted
 from quire.plans.texts import LATEST
 from quire.sources.tables import table
 
@@ -49,7 +50,7 @@ def figure_regions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def element_errors(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "elements").select("element_id", records.element_error().alias("error")).filter("error is not null")
+    return planted.elements(spark, folder).select("element_id", records.element_error().alias("error")).filter("error is not null")
 
 
 def page_batches(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,11 +61,11 @@ def page_batches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL = {
-    "element_errors": """with e as (select element_id, case when type is null or type not in ('heading', 'paragraph', 'list_item', 'table', 'image') then 'unknown type: ' || coalesce(type, 'none')
+    "element_errors": planted.sql("""with e as (select element_id, case when type is null or type not in ('heading', 'paragraph', 'list_item', 'table', 'image') then 'unknown type: ' || coalesce(type, 'none')
     when type = 'heading' and level is null then 'heading without level' when type = 'heading' and text is null then 'heading without text' when type = 'paragraph' and text is null then 'paragraph without text'
     when type = 'list_item' and marker is null then 'list_item without marker' when type = 'list_item' and level is null then 'list_item without level' when type = 'list_item' and text is null then 'list_item without text'
     when type = 'table' and rows is null then 'table without rows' when type = 'image' and asset is null then 'image without asset' when type = 'heading' and level not between 1 and 6 then 'heading level out of range'
-    when type = 'list_item' and level < 1 then 'list level out of range' when type = 'table' and len(rows) = 0 then 'table without rows' end as error from elements) select * from e where error is not null""",
+    when type = 'list_item' and level < 1 then 'list level out of range' when type = 'table' and len(rows) = 0 then 'table without rows' end as error from elements) select * from e where error is not null"""),
     "figure_pages": f"with {LATEST} select doc, page_number, count(*) as figures from latest where type = 'image' and len(bbox) = 4 and greatest(0.0, bbox[3] - bbox[1]) * greatest(0.0, bbox[4] - bbox[2]) >= 0.01 * {WIDTH * HEIGHT} group by doc, page_number",
 }
 

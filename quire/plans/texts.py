@@ -9,6 +9,7 @@ from quire.functions import geometry, glyphs
 from quire.functions import text as t
 from quire.operators import elements as ops
 from quire.operators import furniture
+from quire.plans import planted
 from quire.sources.tables import table
 
 PAGE_HEIGHT, PAGE_AREA = 792.0, 612.0 * 792.0
@@ -97,7 +98,7 @@ def ligatures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def running_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return furniture.repeated_lines(_lines(spark, folder), F.lit(PAGE_HEIGHT))
+    return furniture.repeated_lines(furniture.text_lines(ops.latest(planted.elements(spark, folder))), F.lit(PAGE_HEIGHT))
 
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,7 +117,7 @@ def output_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 def repeated_boxes(spark: SparkSession, folder: str) -> DataFrame:
     """Image boxes that recur at one place of a document's pages."""
-    return furniture.box_groups(ops.latest(table(spark, folder, "elements")).filter("type = 'image'"), 2, 0.1)
+    return furniture.box_groups(ops.latest(planted.elements(spark, folder)).filter("type = 'image'"), 2, 0.1)
 
 
 _WS = t.WS.replace("\\", "\\")
@@ -181,9 +182,9 @@ SQL = {
   s as (select *, hits / sum(hits) over (partition by doc_id) as share from h) select doc_id, lang, hits, share from s where hits >= 20 and share >= 0.15""",
     "long_words": rf"with w as (select doc_id, regexp_extract_all(lower(text), '{t.WORD4}') as ws from documents where text is not null) select doc_id, cast(len(ws) as int) as words, cast(len(list_distinct(ws)) as int) as different from w",
     "ligatures": f"with f as (select element_id, text, {_ligatures_sql('text')} as fixed from {_TEXTS}) select element_id, fixed from f where fixed <> text",
-    "running_lines": f"""with {_LINES}, banded as (select *, {key_sql('text')} as key, case when bbox[4] <= {geometry.BAND * PAGE_HEIGHT} then 'top' when bbox[2] >= {(1 - geometry.BAND) * PAGE_HEIGHT} then 'bottom' end as edge from lines)
+    "running_lines": planted.sql(f"""with {_LINES}, banded as (select *, {key_sql('text')} as key, case when bbox[4] <= {geometry.BAND * PAGE_HEIGHT} then 'top' when bbox[2] >= {(1 - geometry.BAND) * PAGE_HEIGHT} then 'bottom' end as edge from lines)
   select b.doc, key, edge, count(distinct page_number) as pages, min(bbox[2]) as y_min, max(bbox[4]) as y_max from banded b join counts c on c.doc = b.doc where edge is not null and key <> '' group by b.doc, key, edge
-  having count(distinct page_number) >= 2 and count(distinct page_number) >= 0.6 * any_value(page_count)""",
+  having count(distinct page_number) >= 2 and count(distinct page_number) >= 0.6 * any_value(page_count)"""),
     "document_lines": _DOCLINES + " select doc, key, pages, lines from d",
     "stripped_lines": _DOCLINES + """, m as (select k.*, d.key is not null as hit from keyed k left join d on d.doc = k.doc and d.key = k.key)
   select element_id, coalesce(string_agg(text, chr(10) order by line_no) filter (where not hit), '') as text, count(*) filter (where hit) as removed from m group by element_id having count(*) filter (where hit) > 0""",

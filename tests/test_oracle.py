@@ -5,7 +5,7 @@ from oracle import compare, connect
 
 from quire.plans import catalog
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
@@ -16,7 +16,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, con, name):
-    assert compare(spark, con, QUERIES[name], SQL[name], FOLDER) in (None, "no rows")
+    got = compare(spark, con, QUERIES[name], SQL[name], FOLDER)
+    if got == "no rows":  # the smallest tables lack some cases
+        got = compare(spark, connect(LARGER), QUERIES[name], SQL[name], LARGER)
+    assert got is None
 
 
 def test_every_sql_has_a_query():
