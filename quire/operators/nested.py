@@ -208,9 +208,14 @@ def _flatten(texts: list[bytes], values: bool) -> tuple[np.ndarray, pa.Table]:
     out = {"kind": pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(4), parts), pa.int8()), list(_KINDS)).cast(pa.string())}
     out |= {name: pa.array(columns[name].astype(np.int32)) for name, _ in _LINKS}
     if values:
-        parent = np.r_[np.full(parts[0], -1), pages[item_page], item[cell_item], pages[region_page]]
-        out["row_id"] = pa.array(node)
-        out["parent_id"] = pa.array(parent, mask=parent < 0)
+        # Numbers within the record: its pages, elements, cells and regions, each in their order.
+        on_page = np.r_[np.arange(parts[0]), item_page, item_page[cell_item], region_page]
+        order = np.lexsort((columns["cell_no"], columns["row_no"], columns["item_no"], on_page, np.repeat(np.arange(4), parts), of))
+        number = np.empty(len(node), np.int64)
+        number[order] = np.arange(len(node)) - np.searchsorted(of[order], of[order]) + 1
+        parent = np.r_[np.full(parts[0], -1), item_page, parts[0] + cell_item, region_page].astype(np.int64)
+        out["row_id"] = pa.array(number)
+        out["parent_id"] = pa.array(number[parent] if len(node) else number, mask=parent < 0)
         out["value"] = pa.array([None] * (len(node) - parts[2] - parts[3]) + _texts(nodes, cell) + [None] * parts[3], pa.string())
         starts = np.cumsum([0, *parts])
         for f in _ALL:
@@ -237,8 +242,8 @@ def flat_rows(records: DataFrame, id_column: str = "record_id", payload: str = "
     """One row per page, element, table cell and excluded region of every record.
 
     Columns: the id, ``kind``, ``page_no``, ``item_no``, ``row_no`` and ``cell_no``, 0 where they
-    don't apply; with ``values`` also ``row_id`` and ``parent_id``, unique within the record and null
-    for pages' parents, a cell's ``value`` and the text fields of :data:`FIELDS`.
+    don't apply; with ``values`` also ``row_id``, which numbers the record's pages, then its elements,
+    cells and regions, and ``parent_id``, null for pages, a cell's ``value`` and the text fields of :data:`FIELDS`.
     No shuffle: a record is flattened where it is read. An empty table gives an empty one.
     """
     id_type = records.schema[id_column].dataType
