@@ -19,6 +19,8 @@ MIN_PAGES, MIN_FRACTION = 2, 0.6
 #: Boxes within this distance of a group's first box belong to it.
 GROUP_TOLERANCE = 2.0
 OUTPUT_MIN, OUTPUT_FRACTION = 3, 0.1
+#: Share of the page from which an image is its background.
+LARGEST = 0.6
 
 
 def text_lines(elements: DataFrame) -> DataFrame:
@@ -55,6 +57,47 @@ def strip_lines(elements: DataFrame, patterns: DataFrame) -> DataFrame:
     return marked.groupBy("element_id").agg(F.array_join(kept, "\n").alias("text"), F.count("_hit").alias("removed"))
 
 
+def strip_banded(elements: DataFrame, patterns: DataFrame, page_height: Column) -> DataFrame:
+    """:func:`strip_lines` by place: ``element_id``, ``text``, ``removed``.
+
+    An element with a box loses lines only if that lies in an edge band; one without a box loses those
+    whose key has letters, wherever it stood.
+    """
+    boxed = F.coalesce(F.size("bbox") == 4, F.lit(False)) & (page_height > 0)
+    banded = boxed & geometry.edge(F.col("bbox"), page_height).isNotNull()
+    kind = elements.withColumn("_place", F.when(banded, "any").when(~boxed, "letters")).filter(F.col("_place").isNotNull())
+    lettered = patterns.filter(has_letters(F.col("key")))
+    return strip_lines(kind.filter("_place = 'any'"), patterns).unionAll(strip_lines(kind.filter("_place = 'letters'"), lettered))
+
+
+def side_margin_lines(lines: DataFrame, page_width: Column) -> DataFrame:
+    """Lines (with ``dir``, their direction) that run up or down wholly within a side margin."""
+    b, band = F.col("bbox"), geometry.BAND * page_width
+    return lines.filter((F.abs(F.get("dir", F.lit(1))) >= 0.5) & (page_width > 0) & ((geometry.x1(b) <= band) | (geometry.x0(b) >= page_width - band)))
+
+
+def first_page_text(lines: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The running lines of each document's first page as they stand there, from the top: ``doc``, ``text``."""
+    keyed = lines.filter("page_number = 1").withColumn("key", furniture_key(F.col("text"))).join(patterns.select("doc", "key").distinct(), ["doc", "key"], "left_semi")
+    # Of each key the topmost line counts.
+    place = F.struct(geometry.y0(F.col("bbox")).alias("y"), F.col("seq"), F.col("line_no"), F.trim("text").alias("text"))
+    each = keyed.groupBy("doc", "key").agg(F.min(place).alias("l"))
+    return each.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["text"]), "\n").alias("text"))
+
+
+def repeated_images(images: DataFrame, page_height: Column, page_area: Column, pages: DataFrame, min_pages: int = 2, min_fraction: float = 0.5) -> DataFrame:
+    """Images (``doc``, ``asset``) that stand as furniture on most pages: in an edge band, or over most of the page.
+
+    A page counts if all places of the image there are such. ``pages`` has every page of each document.
+    """
+    b = F.col("bbox")
+    placed = geometry.edge(b, page_height).isNotNull() | (geometry.area(b) >= LARGEST * page_area)
+    each = images.filter(F.col("asset").isNotNull()).groupBy("doc", "asset", "page_number").agg(F.min(F.coalesce(placed, F.lit(False))).alias("ok")).filter("ok")
+    found = each.groupBy("doc", "asset").agg(F.count(F.lit(1)).alias("pages"))
+    total = pages.groupBy("doc").agg(F.countDistinct("page_number").alias("page_count"))
+    return found.join(total, "doc").filter((F.col("pages") >= min_pages) & (F.col("pages") >= min_fraction * F.col("page_count"))).drop("page_count")
+
+
 def output_repeats(lines: DataFrame) -> DataFrame:
     """Whole lines that recur in a document's output: at least three times and on a tenth of its pages."""
     pages = lines.groupBy("doc").agg(F.countDistinct("page_number").alias("page_count"))

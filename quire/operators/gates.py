@@ -9,7 +9,7 @@ from quire.functions import geometry
 from quire.functions.text import coverage_words, is_caption, number_depth, section_number
 from quire.operators.scan import page_keys
 
-CONFIDENCE, LARGE, MIN_MISSING, MAX_MISSING = 0.5, 0.2, 3, 0.05
+CONFIDENCE, LARGE, MIN_MISSING, MAX_MISSING, MIN_OUTPUT = 0.5, 0.2, 3, 0.05, 20
 # Reasons for which a region may well be left out.
 BENIGN = ("frame_drawing", "repeated_drawing", "tiny", "text_box", "grid_table", "table_in_figure", "invisible_drawing", "bitmap_panel")
 
@@ -111,3 +111,50 @@ def layout_tables(elements: DataFrame) -> DataFrame:
     filled = F.size(F.filter(cells, lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""))
     prose = F.exists(cells, lambda c: F.length(F.coalesce(c, F.lit(""))) >= 150)
     return elements.filter((F.col("type") == "table") & (F.size(cells) > 0) & (filled < 0.5 * F.size(cells)) & prose)
+
+
+def missing_assets(elements: DataFrame, files: DataFrame) -> DataFrame:
+    """Images whose ``asset`` is no ``path`` of the document's ``files``; images without an asset count."""
+    images = elements.filter("type = 'image'").select("element_id", "doc", "page_number", "asset")
+    return images.join(files.select("doc", F.col("path").alias("asset")).distinct(), ["doc", "asset"], "left_anti").select("element_id", "doc", "page_number", "asset")
+
+
+def uncovered_figures(census: DataFrame, elements: DataFrame) -> DataFrame:
+    """Shapes of the census that no image or table element of their page stands for.
+
+    ``census`` has ``doc``, ``page_number``, ``shape_id``, ``groups`` (ids of the groups around it) and ``kind``;
+    ``elements`` has ``source_shape_id`` and ``tier``. On a page that was read by sight, ids are lost: there
+    as many figures as shapes are enough.
+    """
+    page = ["doc", "page_number"]
+    figures = elements.filter("type in ('image', 'table')").select(*page, "source_shape_id", "tier")
+    ids = figures.filter("source_shape_id is not null").select(*page, F.col("source_shape_id").alias("_id")).distinct()
+    wanted = census.withColumn("_key", F.struct("shape_id", "kind")).select(*page, "_key", F.explode(F.array_distinct(F.concat(F.array("shape_id"), F.coalesce("groups", F.array())))).alias("_id"))
+    met = wanted.join(ids, [*page, "_id"], "left_semi").select(*page, "_key").distinct()
+    lost = census.withColumn("_key", F.struct("shape_id", "kind")).join(met, [*page, "_key"], "left_anti")
+    shown = figures.groupBy(*page).agg(F.count(F.lit(1)).alias("_figures"), F.max(F.col("tier") == "vision").alias("_seen"))
+    shapes = census.groupBy(*page).agg(F.count(F.lit(1)).alias("_shapes"))
+    excused = shapes.join(shown, page).filter("_seen and _figures >= _shapes").select(*page)
+    return lost.join(excused, page, "left_anti").select(*page, "shape_id", "kind")
+
+
+def incomplete_outputs(files: DataFrame) -> DataFrame:
+    """Documents whose split output is incomplete: ``doc``, ``reason``.
+
+    ``files`` has ``doc``, ``path`` (below the document's folder) and ``content``. There must be an index of
+    at least :data:`MIN_OUTPUT` characters that links to files, all of which exist.
+    """
+    index = files.filter(F.col("path") == F.concat("doc", F.lit("/index.md")))
+    links = index.select("doc", F.explode(F.regexp_extract_all("content", F.lit(r"\]\(([^)]+)\)"), F.lit(1))).alias("link"))
+    target = F.concat("doc", F.lit("/"), F.regexp_replace("link", r"^\./", ""))
+    dead = links.withColumn("path", target).join(files.select("doc", "path"), ["doc", "path"], "left_anti").groupBy("doc").agg(F.count(F.lit(1)).alias("dead"))
+    linked = links.groupBy("doc").agg(F.count(F.lit(1)).alias("links"))
+    found = files.select("doc").distinct().join(index.select("doc", F.length("content").alias("size")), "doc", "left").join(linked, "doc", "left").join(dead, "doc", "left")
+    reason = F.when(F.col("size").isNull(), "no index").when(F.col("size") < MIN_OUTPUT, "index too short").when(F.col("links").isNull(), "no links").when(F.col("dead").isNotNull(), "dead links")
+    return found.select("doc", reason.alias("reason")).filter("reason is not null")
+
+
+def unparsed_warnings(unparsed: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """Contents lines without an entry (``doc``, ``unparsed``) of documents all of whose entries met a heading."""
+    lines = unparsed.filter("unparsed is not null")
+    return lines.join(unmatched.select("doc").distinct(), "doc", "left_anti").groupBy("doc").agg(F.count(F.lit(1)).alias("lines"), F.min("unparsed").alias("first"))

@@ -161,6 +161,19 @@ def parse_toc(lines: DataFrame) -> DataFrame:
     )
 
 
+def outline_entries(outline: DataFrame) -> DataFrame:
+    """Entries from outlines (``doc``, ``title``, ``page``, ``level``): the number is split off, and its depth wins over the level."""
+    number, title = split_number(F.col("title"))
+    depth = F.when(number.rlike(SECTION), number_depth(number))
+    return outline.select("doc", number.alias("number"), title.alias("title"), "page", F.coalesce(depth, F.col("level")).alias("level"))
+
+
+def contents(outline: DataFrame, printed: DataFrame) -> DataFrame:
+    """Entries of each document: those of its outline if it has one, else the printed ones."""
+    names = ["doc", "number", "title", "page", "level"]
+    return outline.select(names).unionByName(printed.join(outline.select("doc").distinct(), "doc", "left_anti").select(names))
+
+
 def match_headings(entries: DataFrame, headings: DataFrame) -> DataFrame:
     """Each entry with the closest unused heading that reads the same.
 

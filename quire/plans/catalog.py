@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import checks, nested, outputs, pages, structure, texts
+from quire.plans import checks, formats, nested, outputs, pages, structure, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (nested, structure, texts, checks, outputs, pages)
+_MODULES = (nested, structure, texts, checks, formats, outputs, pages)
 
 
 def queries() -> dict[str, Query]:

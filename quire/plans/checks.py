@@ -25,7 +25,7 @@ def _all(spark: SparkSession, folder: str) -> DataFrame:
     return ops.latest(planted.elements(spark, folder))
 
 
-def _first(spark: SparkSession, folder: str, source: DataFrame | None = None) -> DataFrame:
+def first(spark: SparkSession, folder: str, source: DataFrame | None = None) -> DataFrame:
     """Of each place the row extracted first."""
     source = table(spark, folder, "elements") if source is None else source
     order = Window.partitionBy("doc", "page_number", "seq").orderBy(F.col("extracted_at").asc_nulls_first(), "element_id")
@@ -153,15 +153,15 @@ def score_floors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cell_f1(spark: SparkSession, folder: str) -> DataFrame:
-    return grades.cell_f1(_first(spark, folder), _now(spark, folder))
+    return grades.cell_f1(first(spark, folder), _now(spark, folder))
 
 
 def missing_words(spark: SparkSession, folder: str) -> DataFrame:
-    return grades.missing_words(gates.page_words(_first(spark, folder, planted.elements(spark, folder))), gates.page_words(_all(spark, folder)))
+    return grades.missing_words(gates.page_words(first(spark, folder, planted.elements(spark, folder))), gates.page_words(_all(spark, folder)))
 
 
 def dropped_units(spark: SparkSession, folder: str) -> DataFrame:
-    return grades.dropped_units(_first(spark, folder, planted.elements(spark, folder)).filter("text is not null"), _all(spark, folder))
+    return grades.dropped_units(first(spark, folder, planted.elements(spark, folder)).filter("text is not null"), _all(spark, folder))
 
 
 def headings_missing(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,7 +172,7 @@ def headings_missing(spark: SparkSession, folder: str) -> DataFrame:
 
 def sequence_ratio(spark: SparkSession, folder: str) -> DataFrame:
     """Similarity of the first and the last text of elements that were extracted again."""
-    a = _first(spark, folder).select("doc", "page_number", "seq", F.col("text").alias("a"), F.col("element_id").alias("first_id"))
+    a = first(spark, folder).select("doc", "page_number", "seq", F.col("text").alias("a"), F.col("element_id").alias("first_id"))
     b = _now(spark, folder).select("doc", "page_number", "seq", F.col("text").alias("b"), "element_id")
     return grades.sequence_ratio(a.join(b, ["doc", "page_number", "seq"]).filter("first_id <> element_id"), "element_id", "a", "b")
 
@@ -212,7 +212,7 @@ def start_levels(spark: SparkSession, folder: str) -> DataFrame:
     return layout.start_levels(table(spark, folder, "elements").filter("doc is not null"), table(spark, folder, "toc_entries"))
 
 
-_FIRST = LATEST.replace("latest as", "earliest as").replace("extracted_at desc nulls last, element_id desc", "extracted_at asc nulls first, element_id")
+FIRST = LATEST.replace("latest as", "earliest as").replace("extracted_at desc nulls last, element_id desc", "extracted_at asc nulls first, element_id")
 _TLINES = "b as (select doc_id as doc, unnest(string_split(text, chr(10) || chr(10))) as block, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) as page_number from documents where text is not null), tl as (select doc, page_number, unnest(string_split(block, chr(10))) as line, generate_subscripts(string_split(block, chr(10)), 1) - 1 as line_no from b)"
 _ENTRY = heading_key_sql("case when number is null then title else number || ' ' || title end")
 
@@ -285,7 +285,7 @@ SQL = {
   select x.issue, count(*) as expected, count(g.doc) as found, avg(case when g.doc is null then 0 else 1 end) as recall from x left join g on g.doc = x.doc and g.page_number = x.page_number and g.issue = x.issue group by x.issue""",
     "run_report": f"""with {LATEST} select doc, tier, count(distinct (doc, page_number)) as pages, count(*) as elements, count(*) filter (where type = 'image') as images, count(*) filter (where type = 'table') as tables, cast(grouping(doc, tier) as int) as total from latest group by rollup (doc, tier)""",
     "score_floors": f"with d as ({_DOCS}) select corpus_id, c.doc, score, c.floor.text as least from corpus c join d on d.doc = c.doc where score < c.floor.text",
-    "cell_f1": f"""with {LATEST}, {_FIRST}, a as (select doc, cell, count(*) as a from (select doc, unnest(flatten(rows)) as cell from earliest where type = 'table') where cell is not null group by all),
+    "cell_f1": f"""with {LATEST}, {FIRST}, a as (select doc, cell, count(*) as a from (select doc, unnest(flatten(rows)) as cell from earliest where type = 'table') where cell is not null group by all),
   b as (select doc, cell, count(*) as b from (select doc, unnest(flatten(rows)) as cell from latest where type = 'table') where cell is not null group by all),
   m as (select coalesce(a.doc, b.doc) as doc, coalesce(a, 0) as a, coalesce(b, 0) as b from a full join b on a.doc = b.doc and a.cell = b.cell)
   select doc, cast(sum(least(a, b)) as bigint) as both, 2 * sum(least(a, b)) / (sum(a) + sum(b)) as f1 from m group by doc""",
@@ -298,9 +298,9 @@ SQL = {
   g as (select *, sum(case when goes then 0 else 1 end) over (partition by doc order by page_number) as run from o)
   select doc, arg_min(z, page_number) as element_id, list(case when goes then a else z end order by page_number) as parts,
     cast(sum(len(frows)) - sum(case when goes then 1 else 0 end) as bigint) as rows from g group by doc, run having count(*) > 1"""),
-    "missing_words": planted.sql(f"""with {LATEST}, {_FIRST}, {_words('src', 'earliest')}, {_words('outw', 'latest')}, l as (select s.* from src s left join outw o on o.doc = s.doc and o.page_number = s.page_number and o.word = s.word where o.doc is null)
+    "missing_words": planted.sql(f"""with {LATEST}, {FIRST}, {_words('src', 'earliest')}, {_words('outw', 'latest')}, l as (select s.* from src s left join outw o on o.doc = s.doc and o.page_number = s.page_number and o.word = s.word where o.doc is null)
   select doc, page_number, count(*) as missing, array_to_string(list_sort(list(word))[1:8], ',') as first from l group by doc, page_number"""),
-    "dropped_units": planted.sql(rf"""with {LATEST}, {_FIRST}, p as (select doc, page_number, trim(regexp_replace(lower(string_agg(text, ' ' order by seq, element_id)), '\s+', ' ', 'g')) as page from latest where text is not null group by doc, page_number),
+    "dropped_units": planted.sql(rf"""with {LATEST}, {FIRST}, p as (select doc, page_number, trim(regexp_replace(lower(string_agg(text, ' ' order by seq, element_id)), '\s+', ' ', 'g')) as page from latest where text is not null group by doc, page_number),
   u as (select *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as unit from earliest where text is not null)
   select element_id, u.doc, u.page_number from u left join p on p.doc = u.doc and p.page_number = u.page_number where length(unit) >= 15 and (page is null or not contains(page, unit))"""),
     "headings_missing": f"with {LATEST} select doc, {_ENTRY} as key, level from toc_entries except all select doc, {heading_key_sql('text')} as key, level from latest where type = 'heading'",

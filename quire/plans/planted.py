@@ -60,6 +60,19 @@ def _rows() -> list[dict]:
     add("chain", 3, 2, "paragraph", text="After the table.")
     add("chain", 5, 1, "table", rows=[head], bbox=[50.0, 600.0, 500.0, 780.0])
     add("chain", 6, 1, "table", rows=[["three", "columns", "here"]], bbox=[50.0, 20.0, 500.0, 90.0])
+    add("native", 1, 1, "table", rows=[head, ["a", "1"]])
+    add("native", 1, 1, "table", rows=[head, ["a", "1"], ["b", "2"]], extracted_at=_AGAIN)
+    add("native", 1, 2, "table", rows=[head, ["a", "1"]])
+    add("native", 1, 2, "table", rows=[head, ["a"]], extracted_at=_AGAIN)
+    add("native", 1, 3, "image", asset="e.png", caption="Figure 6: Pump")
+    add("native", 1, 3, "paragraph", text="Figure 6: Pump", extracted_at=_AGAIN)
+    add("native", 2, 1, "image", asset="f.png", caption="Figure 7: Valve")
+    add("native", 2, 1, "image", asset="g.png", caption=" Figure ", extracted_at=_AGAIN)
+    add("native", 2, 2, "heading", text="Scope of it", level=1)
+    add("native", 2, 2, "heading", text="Scope of it", level=2, extracted_at=_AGAIN)
+    add("native", 3, 1, "image", asset="h.png", caption="Figure 8", tier="vision")
+    add("native", 3, 1, "paragraph", text="Figure 8", extracted_at=_AGAIN)
+    add("native", 3, 2, "table", rows=[head], tier="vision")
     return rows
 
 

@@ -143,11 +143,11 @@ def garbled_sql(x: str) -> str:
     return rf"case when length({solid}) > 0 then length(regexp_replace({solid}, '[^\x{{FFFD}}\p{{Cc}}\p{{Co}}]', '', 'g')) / length({solid}) else 0.0 end"
 
 
-_LINES = f"{LATEST}, lines as (select element_id, doc, page_number, seq, bbox, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\x{{B}}\\x{{C}}\\r\\x{{1C}}-\\x{{1E}}\\x{{85}}\\x{{2028}}\\x{{2029}}]')) as text, generate_subscripts(regexp_split_to_array(text, '\\r\\n|[\\n\\x{{B}}\\x{{C}}\\r\\x{{1C}}-\\x{{1E}}\\x{{85}}\\x{{2028}}\\x{{2029}}]'), 1) - 1 as line_no from latest where text is not null), counts as (select doc, count(distinct page_number) as page_count from lines group by doc)"
+LINES = f"{LATEST}, lines as (select element_id, doc, page_number, seq, bbox, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\x{{B}}\\x{{C}}\\r\\x{{1C}}-\\x{{1E}}\\x{{85}}\\x{{2028}}\\x{{2029}}]')) as text, generate_subscripts(regexp_split_to_array(text, '\\r\\n|[\\n\\x{{B}}\\x{{C}}\\r\\x{{1C}}-\\x{{1E}}\\x{{85}}\\x{{2028}}\\x{{2029}}]'), 1) - 1 as line_no from latest where text is not null), counts as (select doc, count(distinct page_number) as page_count from lines group by doc)"
 _DLINES = "dl as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents where text is not null)"
 _TEXTS = "(select * from elements where text is not null)"
 _HEADINGS = "(select * from elements where text is not null and type = 'heading')"
-_DOCLINES = f"""with {_LINES}, keyed as (select *, {key_sql("text")} as key from lines), d as (
+_DOCLINES = f"""with {LINES}, keyed as (select *, {key_sql("text")} as key from lines), d as (
   select k.doc, key, count(distinct page_number) as pages, count(*) as lines, any_value(page_count) as page_count from keyed k join counts c on c.doc = k.doc where regexp_matches(key, '\\p{{L}}') group by k.doc, key
   having count(distinct page_number) >= 2 and count(distinct page_number) >= 0.6 * any_value(page_count))"""
 _WORDS = ", ".join(f"('{w}', '{lang}')" for w, lang in t.function_words())
@@ -182,12 +182,12 @@ SQL = {
   s as (select *, hits / sum(hits) over (partition by doc_id) as share from h) select doc_id, lang, hits, share from s where hits >= 20 and share >= 0.15""",
     "long_words": rf"with w as (select doc_id, regexp_extract_all(lower(text), '{t.WORD4}') as ws from documents where text is not null) select doc_id, cast(len(ws) as int) as words, cast(len(list_distinct(ws)) as int) as different from w",
     "ligatures": f"with f as (select element_id, text, {_ligatures_sql('text')} as fixed from {_TEXTS}) select element_id, fixed from f where fixed <> text",
-    "running_lines": planted.sql(f"""with {_LINES}, banded as (select *, {key_sql('text')} as key, case when bbox[4] <= {geometry.BAND * PAGE_HEIGHT} then 'top' when bbox[2] >= {(1 - geometry.BAND) * PAGE_HEIGHT} then 'bottom' end as edge from lines)
+    "running_lines": planted.sql(f"""with {LINES}, banded as (select *, {key_sql('text')} as key, case when bbox[4] <= {geometry.BAND * PAGE_HEIGHT} then 'top' when bbox[2] >= {(1 - geometry.BAND) * PAGE_HEIGHT} then 'bottom' end as edge from lines)
   select b.doc, key, edge, count(distinct page_number) as pages, min(bbox[2]) as y_min, max(bbox[4]) as y_max from banded b join counts c on c.doc = b.doc where edge is not null and key <> '' group by b.doc, key, edge
   having count(distinct page_number) >= 2 and count(distinct page_number) >= 0.6 * any_value(page_count)"""),
     "document_lines": _DOCLINES + " select doc, key, pages, lines from d",
     "stripped_lines": _DOCLINES + """, m as (select k.*, d.key is not null as hit from keyed k left join d on d.doc = k.doc and d.key = k.key)
   select element_id, coalesce(string_agg(text, chr(10) order by line_no) filter (where not hit), '') as text, count(*) filter (where hit) as removed from m group by element_id having count(*) filter (where hit) > 0""",
-    "output_repeats": f"with {_LINES}, o as (select doc, trim(text) as line, count(*) as n from lines where trim(text) <> '' group by doc, trim(text)) select o.doc, line, n from o join counts c on c.doc = o.doc where n >= greatest(3, ceil(page_count * 0.1))",
+    "output_repeats": f"with {LINES}, o as (select doc, trim(text) as line, count(*) as n from lines where trim(text) <> '' group by doc, trim(text)) select o.doc, line, n from o join counts c on c.doc = o.doc where n >= greatest(3, ceil(page_count * 0.1))",
 }
 QUERIES = {q.__name__: q for q in (furniture_keys, heading_keys, section_numbers, slugs, page_texts, list_markers, caption_lines, first_sentences, garbled_share, page_tiers, text_languages, long_words, ligatures, running_lines, document_lines, stripped_lines, output_repeats, repeated_boxes)}
