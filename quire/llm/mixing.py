@@ -86,3 +86,18 @@ def mix(sizes: DataFrame, weights: DataFrame, total: int | None = None, seed: in
     report = report.withColumn("_whole", F.sum("taken").over(listed))
     share = F.when(F.col("_whole") > 0, F.col("taken") / F.col("_whole")).otherwise(0.0)
     return mixture, report.select("source", "target_weight", "max_repeats", "texts", "available", "budget", "taken_texts", "taken", "most_repeats", share.alias("actual_share"), F.when(F.col("total") > 0, F.col("taken") / F.col("total")).otherwise(0.0).alias("share_of_total"), F.greatest(F.col("budget") - F.col("taken"), F.lit(0)).alias("missing"))
+
+
+def checks(mixture: DataFrame, report: DataFrame, sizes: DataFrame) -> DataFrame:
+    """What would break the rules, by listed source: ``source``, ``too_often`` and ``off``, both 0 or 1.
+
+    ``too_often``: a text more often than the cap; ``off``: farther from the budget than half of the source's
+    largest text, though more could be taken.
+    """
+    times = mixture.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("epoch").alias("last"))
+    most = times.groupBy("source").agg(F.max(F.greatest("n", "last")).alias("most"))
+    largest = sizes.groupBy("source").agg(F.max("tokens").alias("largest"))
+    both = report.join(most, "source", "left").join(largest, "source", "left").fillna(0, ["most", "largest"])
+    spent = F.col("taken") >= F.col("available") * F.col("max_repeats")
+    off = (F.abs(F.col("budget") - F.col("taken")) * 2 > F.col("largest")) & ~((F.col("taken") < F.col("budget")) & spent)
+    return both.select("source", (F.col("most") > F.col("max_repeats")).cast("int").alias("too_often"), off.cast("int").alias("off"))

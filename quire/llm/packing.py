@@ -176,3 +176,20 @@ def fill(packed: DataFrame, specs: DataFrame) -> DataFrame:
     total = each.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("n").alias("items"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
     both = total.join(specs.select("spec_id", "capacity_tokens").distinct(), "spec_id")
     return both.select("spec_id", "capacity_tokens", "containers", "items", "tokens", "fullest", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("used"))
+
+
+def checks(packed: DataFrame, sizes: DataFrame, specs: DataFrame) -> DataFrame:
+    """What would break the rules, by capacity: ``spec_id``, ``capacity_tokens``, ``texts`` and four counts.
+
+    ``lost``: tokens of texts in no container, or in two; ``split``: pieces of texts that are not above the
+    capacity; ``overfull``: containers above it; ``crowded``: containers with more than two items above a third.
+    """
+    capacity = specs.select("spec_id", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).distinct()
+    rows = packed.join(F.broadcast(capacity), "spec_id")
+    each = rows.groupBy("spec_id", "capacity_tokens", "container").agg(F.sum("tokens").alias("t"), F.count_if(3 * F.col("tokens") > F.col("capacity_tokens")).alias("large"))
+    full = each.groupBy("spec_id", "capacity_tokens").agg(F.count_if(F.col("t") > F.col("capacity_tokens")).cast("int").alias("overfull"), F.count_if(F.col("large") > 2).cast("int").alias("crowded"))
+    texts = sizes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("size"))
+    placed = rows.groupBy("spec_id", "doc_id").agg(F.sum("tokens").alias("placed"), F.count(F.lit(1)).alias("pieces"), F.min("capacity_tokens").alias("capacity"))
+    met = texts.join(placed, "doc_id")
+    text = met.groupBy("spec_id").agg(F.sum("n").alias("texts"), F.sum(F.abs(F.col("placed") - F.col("size"))).cast("int").alias("lost"), F.count_if((F.col("pieces") > F.col("n")) & (F.col("size") <= F.col("capacity"))).cast("int").alias("split"))
+    return full.join(text, "spec_id").select("spec_id", F.col("capacity_tokens").cast("int").alias("capacity_tokens"), "texts", "lost", "split", "overfull", "crowded")

@@ -90,6 +90,11 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p6_packed(spark, folder), table(spark, folder, "pack_specs"))
 
 
+def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of each capacity, and how many are lost, split without need, or in containers that are overfull or hold too many large ones."""
+    return packing.checks(p6_packed(spark, folder), _sizes(spark, folder), table(spark, folder, "pack_specs"))
+
+
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """Every text of the mixture, once for each time that it is taken."""
     return mixing.mix(_sizes(spark, folder), table(spark, folder, "source_weights"))[0]
@@ -100,6 +105,18 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_sizes(spark, folder), table(spark, folder, "source_weights"))[1]
 
 
+def p7_fitting(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares at the largest total at which no source with texts lacks any for its cap."""
+    documents, weights = _sizes(spark, folder), table(spark, folder, "source_weights")
+    return mixing.mix(documents, weights, mixing.fitting_total(documents, weights))[1]
+
+
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether a source has a text too often, or misses its budget though its cap allows more."""
+    documents = _sizes(spark, folder)
+    return mixing.checks(*mixing.mix(documents, table(spark, folder, "source_weights")), documents)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents most of whose words lie in link lists, tag lists and menus."""
     return stuffing.labelled(table(spark, folder, "documents"), "doc_id", "text").filter("spam_share > 0.5").select("doc_id")
@@ -111,7 +128,7 @@ def p8_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p2_found, p2_forms, p3_found, p3_restored, p4_found, p4_share, p4_bands, p5_found, p5_labels, p5_segments, p6_packed, p6_fill, p7_mixture, p7_shares, p8_found, p8_labels)
+    every = (p2_found, p2_forms, p3_found, p3_restored, p4_found, p4_share, p4_bands, p5_found, p5_labels, p5_segments, p6_packed, p6_fill, p6_checks, p7_mixture, p7_shares, p7_fitting, p7_checks, p8_found, p8_labels)
     return {q.__name__: q for q in every}
 
 
@@ -126,6 +143,9 @@ t as (select doc, count(*) as words, count(*) filter (where marked) as repeated
 """
 _SQL = {
     "p4_found": _P4 + "select doc from t where repeated > 0.25 * words",
+    # No text is lost, split without need or taken too often, and no container overfull.
+    "p6_checks": "select spec_id, capacity_tokens, (select count(*) from documents where text is not null) as texts, 0 as lost, 0 as split, 0 as overfull, 0 as crowded from pack_specs",
+    "p7_checks": "select distinct source, 0 as too_often, 0 as off from source_weights where source is not null",
     "p4_share": _P4 + "select d.doc, coalesce(words, 0) as words, coalesce(repeated / words, 0.0) as share from (select distinct doc from l) d left join t using (doc)",
 }
 
