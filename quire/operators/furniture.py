@@ -8,7 +8,7 @@ distinct keys, not its lines.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry
@@ -24,9 +24,9 @@ LARGEST = 0.6
 
 
 def text_lines(elements: DataFrame) -> DataFrame:
-    """Lines of the elements' texts: ``doc``, ``page_number``, ``seq``, ``line_no``, ``text``, ``bbox``."""
+    """Lines of the elements' texts: ``doc``, ``page_number``, ``seq``, ``type``, ``line_no``, ``text``, ``bbox``."""
     split = F.posexplode(F.split("text", r"\r\n|[\n\x{B}\x{C}\r\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"))
-    return elements.filter(F.col("text").isNotNull()).select("element_id", "doc", "page_number", "seq", "bbox", split.alias("line_no", "text"))
+    return elements.filter(F.col("text").isNotNull()).select("element_id", "doc", "page_number", "seq", "type", "bbox", split.alias("line_no", "text"))
 
 
 def repeated_lines(lines: DataFrame, page_height: Column, min_fraction: float = MIN_FRACTION, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -106,36 +106,52 @@ def output_repeats(lines: DataFrame) -> DataFrame:
     return counts.join(pages, "doc").filter(F.col("n") >= least).select("doc", "line", "n")
 
 
+def _apart(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Add ``name``, a number of the run of ``value`` within ``keys``: runs lie more than the tolerance apart.
+
+    The window holds the different values alone, which the resolution of a page bounds.
+    """
+    order = Window.partitionBy(*keys).orderBy(value)
+    far = F.coalesce(F.col(value) - F.lag(value).over(order) > GROUP_TOLERANCE, F.lit(False))
+    runs = df.select(*keys, value).distinct().withColumn("_far", far.cast("int")).withColumn(name, F.sum("_far").over(order)).drop("_far")
+    return df.join(runs, [*keys, value])
+
+
 def box_groups(boxes: DataFrame, min_pages: int = 3, min_fraction: float = 0.5) -> DataFrame:
     """Boxes that recur at one place: ``doc``, ``kind``, ``x0`` .. ``y1`` (means), ``pages``.
 
     A box joins the first group whose first box lies within :data:`GROUP_TOLERANCE` in all four
-    coordinates, in the order of pages. That order decides, so it is a grouped Python stage; boxes
-    are reduced to distinct places by page first, and groups are found by grid cell.
+    coordinates, in the order of pages. That order decides, so it is a grouped Python stage. Equal boxes
+    join one group, so only different ones take part, with their first page; and boxes with a gap between
+    them in x or y never meet, so each stretch without such a gap is a group of its own, not a document.
     """
+    corners = ["x0", "y0", "x1", "y1"]
 
     def group(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["page_number", "x0", "y0", "x1", "y1"])
+        part = part.sort_values(["page", *corners])
         firsts: list[tuple] = []
         grid: dict[tuple[int, int], list[int]] = {}
-        members: list[list[tuple]] = []
-        for page, *box in part[["page_number", "x0", "y0", "x1", "y1"]].itertuples(index=False):
+        hits = []
+        for box in part[corners].itertuples(index=False, name=None):
             cx, cy = int(box[0] // GROUP_TOLERANCE), int(box[1] // GROUP_TOLERANCE)
             near = sorted(g for i in (-1, 0, 1) for j in (-1, 0, 1) for g in grid.get((cx + i, cy + j), ()))
             hit = next((g for g in near if all(abs(a - b) <= GROUP_TOLERANCE for a, b in zip(firsts[g], box))), None)
             if hit is None:
                 hit = len(firsts)
-                firsts.append(tuple(box))
+                firsts.append(box)
                 grid.setdefault((cx, cy), []).append(hit)
-                members.append([])
-            members[hit].append((page, *box))
-        rows = [(part["doc"].iloc[0], part["kind"].iloc[0], *(round(sum(m[k] for m in ms) / len(ms), 2) for k in range(1, 5)), len({m[0] for m in ms})) for ms in members]
-        return pd.DataFrame(rows, columns=["doc", "kind", "x0", "y0", "x1", "y1", "pages"])
+            hits.append(hit)
+        return part[["doc", "kind", *corners, "_x", "_y"]].assign(_group=hits)
 
     b = F.col("bbox")
-    flat = boxes.filter(F.size("bbox") == 4).select("doc", "kind", "page_number", geometry.x0(b).alias("x0"), geometry.y0(b).alias("y0"), geometry.x1(b).alias("x1"), geometry.y1(b).alias("y1")).distinct()
+    flat = boxes.filter((F.size("bbox") == 4) & F.col("doc").isNotNull()).select("doc", F.coalesce("kind", F.lit("")).alias("kind"), "page_number", *[getattr(geometry, c)(b).alias(c) for c in corners]).distinct()
+    different = flat.groupBy("doc", "kind", *corners).agg(F.min("page_number").alias("page"))
+    parted = _apart(_apart(different, ["doc", "kind"], "x0", "_x"), ["doc", "kind", "_x"], "y0", "_y")
+    schema = "doc string, kind string, x0 double, y0 double, x1 double, y1 double, _x bigint, _y bigint, _group bigint"
+    grouped = shipped(parted).groupBy("doc", "kind", "_x", "_y").applyInPandas(group, schema)
+    means = [F.round(F.avg(c), 2).alias(c) for c in corners]
+    found = flat.join(grouped, ["doc", "kind", *corners]).groupBy("doc", "kind", "_x", "_y", "_group").agg(*means, F.countDistinct("page_number").alias("pages")).drop("_x", "_y", "_group").withColumn("kind", F.nullif("kind", F.lit("")))
     pages = boxes.groupBy("doc").agg(F.countDistinct("page_number").alias("page_count"))
-    found = shipped(flat).groupBy("doc", "kind").applyInPandas(group, "doc string, kind string, x0 double, y0 double, x1 double, y1 double, pages bigint")
     return found.join(pages, "doc").filter((F.col("pages") >= min_pages) & (F.col("pages") >= min_fraction * F.col("page_count"))).drop("page_count")
 
 

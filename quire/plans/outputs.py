@@ -10,7 +10,7 @@ from quire.operators import elements as ops
 from quire.operators.defects import DEFECTS
 from quire.plans.structure import SQL as STRUCTURE
 from quire.plans.texts import LATEST
-from quire.session import checkpoint_dir
+from quire.session import checkpoint_dir, stored
 from quire.sinks import bundles
 from quire.sources import html
 from quire.sources.tables import table
@@ -50,7 +50,7 @@ def tree_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def output_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Characters of every whole-document output."""
-    now = _now(spark, folder)
+    now = stored(_now(spark, folder))
     kinds = (bundles.markdown_files, bundles.html_files, bundles.jsonl_files, bundles.reqif_files)
     parts = [f(now).select("path", F.length("content").alias("chars")) for f in kinds]
     out = parts[0]
@@ -67,9 +67,9 @@ def stream_counts(spark: SparkSession, folder: str) -> DataFrame:
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{folder}/elements.parquet"
     stream = spark.readStream.schema(source.schema).parquet(path if not path.startswith("/") or _is_folder(spark, path) else f"{folder}/element[s].parquet")
-    counts = streaming.window_counts(stream, "extracted_at", late="3650 days")
+    counts = streaming.window_counts(stream, "extracted_at")
     rows = counts.withColumn("day", F.date_format("start", "yyyy-MM-dd")).select("day", "type", "n")
-    # All windows are closed by hand: each update of a window is kept, the last one is the count.
+    # All windows are written each time, so that late rows count as well.
     query = rows.writeStream.outputMode("complete").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/out")).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{base}/out")
@@ -82,7 +82,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 def defect_effects(spark: SparkSession, folder: str) -> DataFrame:
     """Elements and characters before and after each defect."""
-    now = _now(spark, folder)
+    now = stored(_now(spark, folder))
     sums = [F.count(F.lit(1)).alias("elements"), F.sum(F.length("text")).alias("chars"), F.sum("level").alias("levels"), F.sum(F.size("rows")).alias("table_rows")]
     out = now.agg(*sums).withColumn("defect", F.lit("none"))
     for name, defect in DEFECTS.items():

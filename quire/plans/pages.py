@@ -23,9 +23,8 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of text elements, each element a block and its lines below each other in its box."""
     df = furniture.text_lines(_now(spark, folder).filter("size(bbox) = 4 and type <> 'image'"))
     b = F.col("bbox")
-    kinds = _now(spark, folder).select("element_id", (F.col("type") == "heading").alias("bold"))
     size = F.round(g.y1(b) - g.y0(b), 1)
-    return df.join(kinds, "element_id").select("doc", "page_number", F.col("seq").alias("block"), F.col("line_no").alias("line"), "text", "bbox", size.alias("size"), "bold", F.lit(False).alias("accent"))
+    return df.select("doc", "page_number", F.col("seq").alias("block"), F.col("line_no").alias("line"), "text", "bbox", size.alias("size"), (F.col("type") == "heading").alias("bold"), F.lit(False).alias("accent"))
 
 
 def text_headings(spark: SparkSession, folder: str) -> DataFrame:

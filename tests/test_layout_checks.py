@@ -159,3 +159,19 @@ def test_text_functions(spark):
     assert joined == "ab-cd – e"
     fixed = spark.createDataFrame([("oﬃce naƟon Ɵ SoŌware",), ("abௗc",), ("q",)], "t string").select(glyphs.repair(t).alias("x"), glyphs.decode_symbol(F.lit("b")).alias("s")).collect()
     assert [r.x for r in fixed] == ["office nation Ɵ Software", "ab c", "q"] and fixed[0].s == "αβ"
+
+
+def test_box_groups_against_one_group_a_document(spark):
+    rnd = random.Random(3)
+    rows = [{"element_id": i, "page_number": rnd.randrange(1, 12), "seq": i, "type": "image", "bbox": [x, y, x + 50, y + 20]} for i in range(300) for x, y in [(rnd.choice([10.0, 200.0]) + rnd.randrange(0, 12) * 0.7, rnd.choice([5.0, 400.0]) + rnd.randrange(0, 4))]]
+    got = furniture.box_groups(el(spark, rows).withColumn("kind", F.lit(None).cast("string")), 1, 0.0).collect()
+    firsts, members = [], []
+    for page, *box in sorted({(r["page_number"], *r["bbox"]) for r in rows}):
+        hit = next((k for k, f in enumerate(firsts) if all(abs(a - b) <= furniture.GROUP_TOLERANCE for a, b in zip(f, box))), len(firsts))
+        if hit == len(firsts):
+            firsts.append(box)
+            members.append([])
+        members[hit].append((page, *box))
+    want = sorted((*(round(sum(m[k] for m in ms) / len(ms), 2) for k in range(1, 5)), len({m[0] for m in ms})) for ms in members)
+    assert len(want) > 5
+    assert all(abs(a - b) < 0.02 for g, w in zip(sorted((r.x0, r.y0, r.x1, r.y1, r.pages) for r in got), want, strict=True) for a, b in zip(g, w))

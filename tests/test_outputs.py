@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 from xml.etree import ElementTree
 
@@ -113,6 +114,25 @@ def test_stream_keeps_the_latest(spark, elements, tmp_path):
     assert run() == {101, 102} | set(range(3, 11))
 
 
+def test_stream_rewrites_only_what_changes(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    merge = streaming.keep_latest(path, buckets=16)
+    schema = "element_id bigint, doc string, page_number int, seq int, text string, extracted_at timestamp"
+    at = lambda d: dt.datetime(2024, 1, d)
+    first = spark.createDataFrame([(i, f"d{i}", 1, 1, "old", at(1)) for i in range(40)], schema)
+    merge(first, 0)
+    second = spark.createDataFrame([(100, "d3", 1, 1, "new", at(2)), (101, "d4", 1, 1, "late", at(1)), (102, "e", 1, 1, "more", at(2))], schema).filter("element_id <> 101")
+    for _ in range(2):  # a batch may run again
+        merge(second, 1)
+        got = {r.doc: r.text for r in streaming.read_latest(spark, path).collect()}
+        assert got == {f"d{i}": "old" for i in range(40)} | {"d3": "new", "e": "more"}
+    assert 1 <= len(list((tmp_path / "kept" / "version=1").glob("_bucket=*"))) <= 2
+    for n in range(2, 5):
+        merge(first.limit(0), n)
+    assert streaming.read_latest(spark, path).count() == 41
+    assert len(list((tmp_path / "kept").glob("current=*"))) == 2
+
+
 def test_stream_drops_repeats(spark, elements, tmp_path):
     source = str(tmp_path / "in")
     elements.unionAll(elements).coalesce(1).write.parquet(source)
