@@ -19,8 +19,8 @@ not lend that letter the frequency of all words that hold it. The evidence, by r
   capital after a small letter, two scripts in a word) or whose word is :data:`RATIO` times as frequent.
 * *Together*: one chain turns several different such tokens of a row into known words, and their signs
   and frequencies together say that the row's side is the garbled one.
-* *Weak*: the same as strong for short tokens without their surroundings, where there are several and
-  the chain turns every token of the row into a known word.
+* *Weak*: short tokens that bear signs or hold frame lines or blocks, without their surroundings, where
+  there are several and the chain turns every token of the row into a known word.
 
 A form with fewer signs than its word is never taken for garbled. So ``ñ`` on a key stays, although
 it is a garbled ``±``, and so does a row of symbols that one by one are garbled letters.
@@ -80,6 +80,7 @@ _SIGN = r"(?<=\p{L})[\p{S}\p{No}\p{Lm}ªº¿¡§¶†‡‰]+(?=\p{L})|(?<=[\p{L
 _SIGN += r"|(?<=\p{IsLatin})[\p{IsGreek}\p{IsCyrillic}]|(?<=\p{IsGreek})[\p{IsLatin}\p{IsCyrillic}]|(?<=\p{IsCyrillic})[\p{IsLatin}\p{IsGreek}]"
 #: What a token with more signs than its word weighs, as the logarithm of a ratio.
 _SIGN_WEIGHT = 5.0
+_FRAME = r"[\x{2500}-\x{259F}]"
 _LOST = r"[\x{FFFD}\x{80}-\x{84}\x{86}-\x{9F}]"
 
 
@@ -201,7 +202,7 @@ def garbled_tokens(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = F.when(utf8 & (F.length("token") > 1), SURE).when(byte & ~short & often, STRONG_FORM)
     letters = F.col("token").rlike(r"\p{L}") & F.col("word").rlike(r"\p{L}")
     weight = F.when(more, _SIGN_WEIGHT).otherwise(F.log(F.col("word_n") / F.col("whole")))
-    joined = forms.join(counts, "token").withColumns({"kind": kind, "byte": byte, "weight": F.when(byte, weight), "together": ~short & (more | letters | around), "weak": short & often})
+    joined = forms.join(counts, "token").withColumns({"kind": kind, "byte": byte, "weight": F.when(byte, weight), "together": ~short & (more | letters | around), "weak": short & (more | (often & F.col("token").rlike(_FRAME)))})
     met = cut(joined.filter(F.col("kind").isNotNull() | F.col("byte")).select("token", "word", "word_n", "chain", "kind", "byte", "weight", "together", "weak"))
     best = met.filter(F.col("kind").isNotNull()).groupBy("token").agg(F.max_by(F.struct("word", "chain", "kind"), F.struct("kind", "word_n", -F.col("chain"), "word")).alias("b"))
     known = best.select("token", "b.*")
