@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import forms, garble, languages, mixing, packing, repeats, sizes, stuffing
+from quire.session import cut
 from quire.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,7 +93,8 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of each capacity, and how many are lost, split without need, or in containers that are overfull or hold too many large ones."""
-    return packing.checks(p6_packed(spark, folder), _sizes(spark, folder), table(spark, folder, "pack_specs"))
+    documents, specs = cut(_sizes(spark, folder)), table(spark, folder, "pack_specs")
+    return packing.checks(packing.pack(documents, specs), documents, specs)
 
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,13 +109,13 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_fitting(spark: SparkSession, folder: str) -> DataFrame:
     """The shares at the largest total at which no source with texts lacks any for its cap."""
-    documents, weights = _sizes(spark, folder), table(spark, folder, "source_weights")
+    documents, weights = cut(_sizes(spark, folder)), table(spark, folder, "source_weights")
     return mixing.mix(documents, weights, mixing.fitting_total(documents, weights))[1]
 
 
 def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
     """Whether a source has a text too often, or misses its budget though its cap allows more."""
-    documents = _sizes(spark, folder)
+    documents = cut(_sizes(spark, folder))
     return mixing.checks(*mixing.mix(documents, table(spark, folder, "source_weights")), documents)
 
 
