@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry
 from quire.functions.text import furniture_key, has_letters
-from quire.session import shipped
+from quire.session import cut, shipped
 
 MIN_PAGES, MIN_FRACTION = 2, 0.6
 #: Boxes within this distance of a group's first box belong to it.
@@ -147,8 +147,13 @@ def box_groups(boxes: DataFrame, min_pages: int = 3, min_fraction: float = 0.5)
     flat = boxes.filter((F.size("bbox") == 4) & F.col("doc").isNotNull()).select("doc", F.coalesce("kind", F.lit("")).alias("kind"), "page_number", *[getattr(geometry, c)(b).alias(c) for c in corners]).distinct()
     different = flat.groupBy("doc", "kind", *corners).agg(F.min("page_number").alias("page"))
     parted = _apart(_apart(different, ["doc", "kind"], "x0", "_x"), ["doc", "kind", "_x"], "y0", "_y")
+    # Where all boxes lie within the tolerance, all join the first one; only the other stretches are Python's.
+    stretch = Window.partitionBy("doc", "kind", "_x", "_y")
+    wide = F.greatest(*[F.max(c).over(stretch) - F.min(c).over(stretch) for c in corners]) > GROUP_TOLERANCE
+    parted = cut(parted.withColumn("_wide", wide))
+    plain = parted.filter("not _wide").select("doc", "kind", *corners, "_x", "_y", F.lit(0).cast("bigint").alias("_group"))
     schema = "doc string, kind string, x0 double, y0 double, x1 double, y1 double, _x bigint, _y bigint, _group bigint"
-    grouped = shipped(parted).groupBy("doc", "kind", "_x", "_y").applyInPandas(group, schema)
+    grouped = plain.unionByName(shipped(parted.filter("_wide")).groupBy("doc", "kind", "_x", "_y").applyInPandas(group, schema))
     means = [F.round(F.avg(c), 2).alias(c) for c in corners]
     found = flat.join(grouped, ["doc", "kind", *corners]).groupBy("doc", "kind", "_x", "_y", "_group").agg(*means, F.countDistinct("page_number").alias("pages")).drop("_x", "_y", "_group").withColumn("kind", F.nullif("kind", F.lit("")))
     pages = boxes.groupBy("doc").agg(F.countDistinct("page_number").alias("page_count"))

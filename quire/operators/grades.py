@@ -66,8 +66,10 @@ def missing_words(source: DataFrame, output: DataFrame) -> DataFrame:
 def dropped_units(units: DataFrame, output: DataFrame) -> DataFrame:
     """Texts of at least 15 characters that are no part of their page's output, space and case aside."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    pages = output.filter("text is not null").groupBy("doc", "page_number").agg(plain(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "element_id", "text"))), lambda x: x["text"]), " ")).alias("_page"))
     wanted = units.withColumn("_unit", plain(F.col("text"))).filter(F.length("_unit") >= UNIT)
+    # Only pages with such a text are put together.
+    shown = output.filter("text is not null").select("doc", "page_number", "seq", "element_id", "text").join(wanted.select("doc", "page_number").distinct(), ["doc", "page_number"], "left_semi")
+    pages = shown.groupBy("doc", "page_number").agg(plain(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "element_id", "text"))), lambda x: x["text"]), " ")).alias("_page"))
     both = wanted.join(pages, ["doc", "page_number"], "left")
     return both.filter(F.col("_page").isNull() | ~F.contains("_page", "_unit")).select("element_id", "doc", "page_number")
 

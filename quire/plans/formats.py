@@ -5,7 +5,7 @@ The source of a place is what was extracted first, the output what was extracted
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry
@@ -15,6 +15,7 @@ from quire.operators import formats, furniture, gates, grades, toc
 from quire.plans import checks, planted
 from quire.plans.checks import FIRST
 from quire.plans.texts import LATEST, LINES, PAGE_AREA, PAGE_HEIGHT, heading_key_sql, key_sql
+from quire.session import stored
 from quire.sources import markdown
 from quire.sources.tables import table
 
@@ -43,13 +44,24 @@ def generic_captions(spark: SparkSession, folder: str) -> DataFrame:
     return formats.generic_captions(_output(spark, folder))
 
 
+def _extractions(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each place the rows extracted ``first`` and ``last``, one row where both are the same; written once."""
+    place = Window.partitionBy("doc", "page_number", "seq")
+    nth = {"first": (F.col("extracted_at").asc_nulls_first(), F.col("element_id")), "last": (F.col("extracted_at").desc_nulls_last(), F.col("element_id").desc())}
+    rows = planted.elements(spark, folder).filter("doc is not null").select("element_id", "doc", "page_number", "seq", "type", "text", "level", "rows", "caption", "extracted_at")
+    rows = rows.withColumns({name: F.row_number().over(place.orderBy(*order)) == 1 for name, order in nth.items()})
+    return stored(rows.filter("first or last").drop("extracted_at"))
+
+
 def native_issues(spark: SparkSession, folder: str) -> DataFrame:
-    """Issues of each page, as one text."""
-    a, z = _source(spark, folder), _output(spark, folder)
+    """Issues of each page, as one text. What both extractions have alike can't be missing and is compared no further."""
+    both = _extractions(spark, folder)
+    a, z, changed = both.filter("first"), both.filter("last"), both.filter("not (first and last)")
+    lost, new = changed.filter("first"), changed.filter("last")
     key = lambda df: df.filter("type = 'heading'").select("doc", "page_number", heading_key(F.col("text")).alias("key"), F.least("level", F.lit(3)).alias("level"))
-    headings = key(a).exceptAll(key(z)).select("doc", "page_number").distinct()
-    dropped = grades.dropped_units(a.filter("text is not null"), z).select("doc", "page_number").distinct()
-    issues = formats.page_issues(dropped, formats.table_corruption(a, z), formats.lost_images(a, z), formats.generic_captions(z), headings)
+    headings = key(lost).exceptAll(key(new)).select("doc", "page_number").distinct()
+    dropped = grades.dropped_units(lost.filter("text is not null"), z).select("doc", "page_number").distinct()
+    issues = formats.page_issues(dropped, formats.table_corruption(a, z), formats.lost_images(lost, new), formats.generic_captions(z), headings)
     return issues.select("doc", "page_number", F.array_join("issues", ",").alias("issues"))
 
 
