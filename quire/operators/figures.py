@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
+from quire.operators.layout import components
 from quire.session import shipped
 
 FRAME, TINY, BAND_SHARE, TABLE_OVERLAP, PADDING, WHITE = 0.6, 0.01, 0.5, 0.3, 10.0, 0.98
@@ -27,21 +28,7 @@ def invisible() -> Column:
 
 def _clusters(drawings: DataFrame, gap: float) -> DataFrame:
     """``doc``, ``page_number``, ``drawing_id``, ``region``: drawings that touch, directly or through others."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        boxes = part["bbox"].tolist()
-        group = list(range(len(boxes)))
-        for i, a in enumerate(boxes):
-            for j in range(i):
-                b = boxes[j]
-                if group[i] != group[j] and max(a[0], b[0]) - min(a[2], b[2]) <= gap and max(a[1], b[1]) - min(a[3], b[3]) <= gap:
-                    old, new = group[i], group[j]
-                    group = [new if x == old else x for x in group]
-        ids = part["drawing_id"].tolist()
-        first = {x: min(d for d, y in zip(ids, group) if y == x) for x in set(group)}
-        return pd.DataFrame({"doc": part["doc"], "page_number": part["page_number"], "drawing_id": part["drawing_id"], "region": [first[x] for x in group]})
-
-    return shipped(drawings).groupBy("doc", "page_number").applyInPandas(run, "doc string, page_number int, drawing_id bigint, region bigint")
+    return components(drawings, "drawing_id", gap).select("doc", "page_number", "drawing_id", F.col("component").alias("region"))
 
 
 def regions(drawings: DataFrame, tables: DataFrame, lines: DataFrame, repeated: DataFrame, width: float, height: float, gap: float = 0.0) -> DataFrame:

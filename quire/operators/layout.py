@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,37 +70,59 @@ def nearest_text(images: DataFrame, lines: DataFrame, captions_only: bool = Fals
     return near.groupBy("image_id").agg(F.min(best).alias("m")).select("image_id", "m.element_id", "m.side", "m.distance")
 
 
-def box_components(boxes: DataFrame, gap: float = BOX_GAP) -> DataFrame:
-    """Boxes of a page that are near each other, directly or through others, as one: ``component`` and its box.
+def joined(boxes: list[tuple[float, float, float, float]], gap: float) -> list[int]:
+    """For each box a number that boxes share which are no farther apart than ``gap`` in x and y, directly or through others.
 
-    Pages are small; each is a union of near pairs in a grouped stage.
+    A sweep from left to right compares a box only with those that still reach it.
     """
+    root = list(range(len(boxes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    live: list[int] = []
+    for i in sorted(root[:], key=lambda k: boxes[k][0]):
+        x0, y0, _, y1 = boxes[i]
+        live = [j for j in live if x0 - boxes[j][2] <= gap]
+        for j in live:
+            if max(y0, boxes[j][1]) - min(y1, boxes[j][3]) <= gap:
+                root[find(i)] = find(j)
+        live.append(i)
+    return [find(i) for i in range(len(boxes))]
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        root = list(range(len(part)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        b = part[["x0", "y0", "x1", "y1"]].to_numpy()
-        for i in range(len(b)):
-            for j in range(i):
-                if max(b[i][0], b[j][0]) - min(b[i][2], b[j][2]) <= gap and max(b[i][1], b[j][1]) - min(b[i][3], b[j][3]) <= gap:
-                    root[find(i)] = find(j)
-        part = part.assign(component=[find(i) for i in range(len(b))]).sort_values("element_id")
-        first = part.groupby("component")["element_id"].transform("min")
-        union = part.groupby("component").agg({"x0": "min", "y0": "min", "x1": "max", "y1": "max"})
-        out = pd.DataFrame({"element_id": part["element_id"], "component": first})
-        for c in union.columns:
-            out[c] = part["component"].map(union[c])
-        return out
 
+def components(boxes: DataFrame, key: str, gap: float) -> DataFrame:
+    """``doc``, ``page_number``, the key, ``component`` (its least key) and the component's box; boxes without corners go.
+
+    Many pages go through Python together; what a task holds at once is a batch of pages.
+    """
     box = F.col("bbox")
-    flat = boxes.filter(F.size("bbox") == 4).select("doc", "page_number", "element_id", *[g(box).alias(g.__name__) for g in (geometry.x0, geometry.y0, geometry.x1, geometry.y1)])
-    return shipped(flat).groupBy("doc", "page_number").applyInPandas(run, "element_id bigint, component bigint, x0 double, y0 double, x1 double, y1 double")
+    corners = [g(box).alias(g.__name__) for g in (geometry.x0, geometry.y0, geometry.x1, geometry.y1)]
+    pages = boxes.filter(F.size("bbox") == 4).groupBy("doc", "page_number").agg(F.collect_list(F.struct(F.col(key).alias("key"), *corners)).alias("boxes"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for doc, page, rows in zip(part["doc"], part["page_number"], part["boxes"]):
+                found = [(r["x0"], r["y0"], r["x1"], r["y1"]) for r in rows]
+                number = joined(found, gap)
+                union: dict[int, list] = {}
+                for n, r, b in zip(number, rows, found):
+                    u = union.get(n)
+                    union[n] = [r["key"], *b] if u is None else [min(u[0], r["key"]), min(u[1], b[0]), min(u[2], b[1]), max(u[3], b[2]), max(u[4], b[3])]
+                out += [(doc, page, r["key"], *union[n]) for n, r in zip(number, rows)]
+            yield pd.DataFrame(out, columns=["doc", "page_number", key, "component", "x0", "y0", "x1", "y1"])
+
+    kind = boxes.schema[key].dataType.simpleString()
+    return shipped(pages).mapInPandas(run, f"doc string, page_number int, {key} {kind}, component {kind}, x0 double, y0 double, x1 double, y1 double")
+
+
+def box_components(boxes: DataFrame, gap: float = BOX_GAP) -> DataFrame:
+    """Boxes of a page that are near each other, directly or through others, as one: ``component`` and its box."""
+    return components(boxes, "element_id", gap).drop("doc", "page_number")
 
 
 def start_levels(pages: DataFrame, entries: DataFrame) -> DataFrame:

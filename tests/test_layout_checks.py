@@ -175,3 +175,17 @@ def test_box_groups_against_one_group_a_document(spark):
     want = sorted((*(round(sum(m[k] for m in ms) / len(ms), 2) for k in range(1, 5)), len({m[0] for m in ms})) for ms in members)
     assert len(want) > 5
     assert all(abs(a - b) < 0.02 for g, w in zip(sorted((r.x0, r.y0, r.x1, r.y1, r.pages) for r in got), want, strict=True) for a, b in zip(g, w))
+
+
+def test_joined_boxes_against_all_pairs():
+    rnd = random.Random(11)
+    for n in (0, 1, 2, 30, 80):
+        boxes = [(x, y, x + rnd.randrange(1, 30), y + rnd.randrange(1, 30)) for x, y in ((rnd.randrange(300), rnd.randrange(300)) for _ in range(n))]
+        got = layout.joined(boxes, 5)
+        want = list(range(n))
+        for _ in range(n):
+            for i, a in enumerate(boxes):
+                for j, b in enumerate(boxes):
+                    if max(a[0], b[0]) - min(a[2], b[2]) <= 5 and max(a[1], b[1]) - min(a[3], b[3]) <= 5:
+                        want[i] = want[j] = min(want[i], want[j])
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(n) for j in range(n))
