@@ -24,14 +24,37 @@ def markdown_table(rows: Column) -> Column:
     return F.when((F.size(rows) > 0) & (width > 0), whole).otherwise("")
 
 
-def markdown_image() -> Column:
-    """The image, its printed caption and its text as a quotation."""
-    caption, quoted = F.nullif(F.coalesce("caption", F.lit("")), F.lit("")), F.nullif(F.coalesce("figure_text", F.lit("")), F.lit(""))
-    shown = F.concat(F.lit("!["), F.coalesce(caption, F.lit("")), F.lit("]("), F.coalesce("asset", F.lit("")), F.lit(")"))
-    return F.concat_ws("\n", shown, caption, F.concat(F.lit("> "), F.replace(quoted, F.lit("\n"), F.lit("\n> "))))
+#: Columns of what was written about an image later, and the lines that enclose it.
+DESCRIBED = ("caption_source", "description", "data_table", "mermaid")
+INTERPRETED = ("<!-- interpretation -->", "<!-- /interpretation -->")
 
 
-def markdown(depth: str) -> Column:
+def described(elements: DataFrame) -> bool:
+    """Whether elements have all columns of descriptions."""
+    return set(DESCRIBED) <= set(elements.columns)
+
+
+def markdown_image(interpreted: bool = False) -> Column:
+    """The image, its printed caption and its text as a quotation.
+
+    With ``interpreted`` also what was written about it, between :data:`INTERPRETED`: a caption whose source
+    is ``agent``, which is then no printed one, the description, the data as a table and the diagram.
+    """
+    filled = lambda name: F.nullif(F.coalesce(name, F.lit("")), F.lit(""))
+    written = F.coalesce(F.col("caption_source") == "agent", F.lit(False)) if interpreted else F.lit(False)
+    caption, quoted = F.when(~written, filled("caption")), filled("figure_text")
+    alt = F.coalesce(filled("description"), caption, F.lit("")) if interpreted else F.coalesce(caption, F.lit(""))
+    shown = F.concat(F.lit("!["), alt, F.lit("]("), F.coalesce("asset", F.lit("")), F.lit(")"))
+    parts = [shown, caption, F.concat(F.lit("> "), F.replace(quoted, F.lit("\n"), F.lit("\n> ")))]
+    if interpreted:
+        data = F.nullif(markdown_table(F.col("data_table")), F.lit(""))
+        diagram = F.concat(F.lit("```mermaid\n"), filled("mermaid"), F.lit("\n```"))
+        inner = F.nullif(F.concat_ws("\n\n", F.when(written, filled("caption")), filled("description"), data, diagram), F.lit(""))
+        parts.append(F.concat(F.lit(INTERPRETED[0] + "\n"), inner, F.lit("\n" + INTERPRETED[1])))
+    return F.concat_ws("\n", *parts)
+
+
+def markdown(depth: str, interpreted: bool = False) -> Column:
     """Markdown of one element; ``depth`` names the column of list depths."""
     level = F.least(F.greatest(F.coalesce("level", F.lit(1)), F.lit(1)), F.lit(LEVELS))
     marker = F.when(F.length(F.coalesce("marker", F.lit(""))) > 1, F.col("marker")).otherwise("-")
@@ -41,7 +64,7 @@ def markdown(depth: str) -> Column:
         .when(kind == "paragraph", _text())
         .when(kind == "list_item", F.concat(F.repeat(F.lit("  "), F.col(depth).cast("int")), marker, F.lit(" "), _text()))
         .when(kind == "table", F.coalesce(markdown_table(F.col("rows")), F.lit("")))
-        .when(kind == "image", markdown_image())
+        .when(kind == "image", markdown_image(interpreted))
         .otherwise("")
     )
 
@@ -54,7 +77,7 @@ def page_markdown(elements: DataFrame) -> DataFrame:
     within = Window.partitionBy(*page_keys(elements)).orderBy("seq")
     df = list_depths(elements).withColumn("_next", F.lead("type").over(within))
     gap = F.when((F.col("type") == "list_item") & (F.col("_next") == "list_item"), "\n").otherwise("\n\n")
-    blocks = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat(markdown("depth"), gap).alias("m")))), lambda x: x["m"])
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat(markdown("depth", described(elements)), gap).alias("m")))), lambda x: x["m"])
     return df.groupBy(*page_keys(elements)).agg(F.concat(F.trim(F.array_join(blocks, ""), F.lit("\n")), F.lit("\n")).alias("markdown")).drop("_block")
 
 

@@ -83,10 +83,11 @@ def _section_bodies(elements: DataFrame, depth: int) -> DataFrame:
     gap = F.when((F.col("type") == "list_item") & (F.col("_next") == "list_item"), "\n").otherwise("\n\n")
     order = F.struct("page_number", "seq", "element_id")
     text = F.trim(F.coalesce("text", F.lit("")))
+    shown = render.markdown("depth", render.described(elements))
     body = lambda c: F.concat(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_open"), F.struct(order.alias("o"), c.alias("m"))))), lambda x: x["m"]), ""), F.lit("\n")), F.lit("\n"))
     return df.groupBy("doc", "section").agg(
         F.max(F.when(F.col("_open"), F.col("text"))).alias("heading"), F.max(F.when(F.col("_open"), F.col("level"))).alias("level"), F.count_if(~F.col("_open")).alias("n"),
-        body(F.concat(render.markdown("depth"), gap)).alias("body"), body(F.concat(anchor, render.markdown("depth"), gap)).alias("anchored"),
+        body(F.concat(shown, gap)).alias("body"), body(F.concat(anchor, shown, gap)).alias("anchored"),
         F.min_by(text, F.when((F.col("type") == "paragraph") & (text != ""), order)).alias("lead"), F.array_sort(F.collect_set("page_number")).alias("pages"),
     ).filter("heading is not null or n > 0")
 

@@ -41,6 +41,21 @@ def test_markdown(elements):
     assert got.content.startswith(want + "\n## 1.1 Sub\n\n![A caption](i.png)\nA caption\n> l1\n> l2\n\n")
 
 
+def test_described_images(spark):
+    columns = "asset string, caption string, figure_text string, caption_source string, description string, data_table array<array<string>>, mermaid string"
+    rows = [
+        ("a.png", "Figure 1", "two\nlines", None, "A pump.", [["x", "y"], ["1", "2"]], "graph TD"),
+        ("b.png", "Mine", None, "agent", None, None, None),
+        ("c.png", "Figure 2", None, None, "", [], None),
+        ("d.png", None, None, None, None, None, None),
+    ]
+    got = [r[0] for r in spark.createDataFrame(rows, columns).coalesce(1).select(render.markdown_image(True)).collect()]
+    start, end = render.INTERPRETED
+    assert got[0] == f"![A pump.](a.png)\nFigure 1\n> two\n> lines\n{start}\nA pump.\n\n| x | y |\n| --- | --- |\n| 1 | 2 |\n\n```mermaid\ngraph TD\n```\n{end}"
+    assert got[1] == f"![](b.png)\n{start}\nMine\n{end}"
+    assert got[2:] == ["![Figure 2](c.png)\nFigure 2", "![](d.png)"]
+
+
 def test_json_lines(elements):
     lines = [json.loads(x) for x in bundles.jsonl_files(elements).first().content.split("\n")]
     assert [x["id"] for x in lines] == ["p1-1", "p1-2", "p1-3", "p1-4", "p1-5", "p2-1", "p2-2", "p2-3", "p2-4"]
