@@ -32,6 +32,12 @@ def html_triage(spark: SparkSession, folder: str) -> DataFrame:
     return html.triage(bundles.page_html(_now(spark, folder)), "html").select("doc", "page_number", "has_table", "image_count", "loop_size")
 
 
+def html_images(spark: SparkSession, folder: str) -> DataFrame:
+    """Images of every page written as HTML and read again."""
+    found = html.html_images(bundles.page_html(_now(spark, folder)), ["doc", "page_number"], "html")
+    return found.select("doc", "page_number", "place", "ext", "path")
+
+
 def jsonl_records(spark: SparkSession, folder: str) -> DataFrame:
     line = F.from_json("line", "id string, type string, heading_path array<string>, text string")
     df = bundles.jsonl_lines(_now(spark, folder)).withColumn("r", line)
@@ -98,10 +104,12 @@ SQL = {
     case when type = 'heading' then least(greatest(coalesce(level, 1), 1), 3) end as level, case when type = 'table' then cast(len(rows) as varchar) else x end as content
   from t where (type in ('heading', 'paragraph', 'list_item') and x <> '') or (type = 'table' and len(rows) > 0)""",
     "html_triage": f"""with {LATEST} select doc, page_number, bool_or(type = 'table') as has_table, cast(count(*) filter (where type = 'image') as int) as image_count, case when bool_or(type in ('table', 'image')) then 'tight' else 'loose' end as loop_size from latest group by doc, page_number""",
+    "html_images": f"""with {LATEST}, i as (select doc, page_number, asset, row_number() over (partition by doc, page_number order by seq, element_id) as place from latest where type = 'image')
+  select doc, page_number, cast(place as int) as place, regexp_extract(asset, '\\.([^./]*)$', 1) as ext, asset as path from i where asset is not null""",
     "jsonl_records": f"""select doc, page_number, seq, 'p' || page_number || '-' || row_number() over (partition by doc, page_number order by seq, element_id) as id, type, path, cast(length(nullif(text, '')) as int) as chars from ({_PATHS}) where coalesce(kind, '') <> 'furniture'""",
     "bundle_counts": STRUCTURE["h1_sections"].replace("select doc, section, title, elements, pages from t", "select doc, count(*) + 1 as files from t where title <> 'Front Matter' or elements > 0 group by doc"),
     "tree_counts": f"""with {LATEST}, s as (select *, sum(case when type = 'heading' and level <= 2 then 1 else 0 end) over (partition by doc order by page_number, seq rows unbounded preceding) as section from latest)
   select doc, count(distinct section) + 1 as files, count(distinct section) + 1 as paths from s group by doc""",
     "stream_counts": "select strftime(extracted_at, '%Y-%m-%d') as day, type, count(*) as n from elements where extracted_at is not null group by all",
 }
-QUERIES = {q.__name__: q for q in (html_blocks, html_triage, jsonl_records, bundle_counts, tree_counts, output_sizes, stream_counts, defect_effects)}
+QUERIES = {q.__name__: q for q in (html_blocks, html_triage, html_images, jsonl_records, bundle_counts, tree_counts, output_sizes, stream_counts, defect_effects)}

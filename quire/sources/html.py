@@ -8,8 +8,12 @@ styles, templates, the head and comments have no text. White space is collapsed.
 
 from __future__ import annotations
 
+import base64
+import mimetypes
+import posixpath
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -139,6 +143,52 @@ def read_html(pages: DataFrame, key: list[str], html: str) -> DataFrame:
     return shipped(pages).filter(F.col(html).isNotNull()).select(*key, F.col(html)).mapInPandas(run, schema)
 
 
+def images(html: str) -> list[tuple[int, str, str | None, bytes | None]]:
+    """Images of one page that can be kept: place from 1, ending, and path below the page's folder or content.
+
+    Embedded ones have their content; remote ones, others than base64, and paths that lead out of the folder
+    are left out, but keep their place.
+    """
+    out = []
+    for place, n in enumerate((n for n in parse(html).walk() if n.tag == "img"), 1):
+        src = (n.attrs.get("src") or "").strip()
+        if src.startswith("data:"):
+            head, _, data = src.partition(",")
+            kind, *flags = head.removeprefix("data:").split(";")
+            if "base64" in flags:
+                try:
+                    content = base64.b64decode(unquote(data))
+                except ValueError:
+                    continue
+                out.append((place, (mimetypes.guess_extension(kind or "image/png") or ".png").lstrip("."), None, content))
+            continue
+        try:
+            url = urlsplit(src)
+        except ValueError:
+            continue
+        path = posixpath.normpath(unquote(url.path)) if url.path else ""
+        if path and not url.scheme and not url.netloc and not path.startswith(("/", "..")):
+            out.append((place, posixpath.splitext(path)[1].lstrip(".") or "png", path, None))
+    return out
+
+
+def html_images(pages: DataFrame, key: list[str], html: str) -> DataFrame:
+    """Images of HTML texts: the key, ``place``, ``ext``, ``path`` and ``content``; see :func:`images`."""
+    schema = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in key) + ", place int, ext string, path string, content binary"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame([(*k, *i) for *k, h in p.itertuples(index=False) for i in images(h)], columns=[*key, "place", "ext", "path", "content"])
+
+    return shipped(pages).filter(F.col(html).isNotNull()).select(*key, F.col(html)).mapInPandas(run, schema)
+
+
+def with_contents(found: DataFrame, key: list[str], files: DataFrame) -> DataFrame:
+    """Images with the contents of their files (key, ``path``, ``content``); those whose file is missing go."""
+    paths = found.filter("path is not null").drop("content").join(files.select(*key, "path", "content"), [*key, "path"])
+    return found.filter("path is null").unionByName(paths)
+
+
 def triage(pages: DataFrame, html: str) -> DataFrame:
     """Whether each page has tables and images, found without a parse, and how closely to look at it."""
     table, images = F.col(html).rlike(r"(?i)<table[\s>]"), F.regexp_count(F.col(html), F.lit(r"(?i)<img[\s>/]"))

@@ -83,3 +83,13 @@ def test_folder_of_files(spark, tmp_path):
     rows = files.read_documents(found).collect()
     assert {r.doc for r in rows if r.reason} == {"d"}
     assert sum(r.doc == "a" for r in rows) == 7 and sum(r.doc == "b" for r in rows) == 9
+
+
+def test_html_images(spark):
+    page = """<img src="a/b%20c.png?x=1"><p><img><img src=" data:image/gif;base64,R0lGOA== "><img src="data:image/svg+xml,<svg/>"><img src="http://x.example/a.png">
+      <img src="//x.example/a.png"><img src="../out.png"><img src="/etc/a.png"><img src="a/../d"><img src="data:;base64,AAAA"><img src="data:image/png;base64,R0lGOD"><img src="http://[">"""
+    got = [(r.place, r.ext, r.path, r.content and bytes(r.content)) for r in html.html_images(spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string"), ["id"], "html").collect()]
+    assert got == [(1, "png", "a/b c.png", None), (3, "gif", None, b"GIF8"), (9, "png", "d", None), (10, "png", None, b"\0\0\0")]
+    files = spark.createDataFrame([(1, "d", b"x"), (2, "a/b c.png", b"y")], "id int, path string, content binary")
+    kept = html.with_contents(html.html_images(spark.createDataFrame([(1, page)], "id int, html string"), ["id"], "html"), ["id"], files).collect()
+    assert sorted((r.place, bytes(r.content)) for r in kept) == [(3, b"GIF8"), (9, b"x"), (10, b"\0\0\0")]
