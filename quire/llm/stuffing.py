@@ -15,9 +15,10 @@ lists. A page is flagged if more than half of its words lie in link lists, tag l
 is a token with a letter; a link is one word.
 
 The model starts from :data:`PRIOR`, counts that state what each label looks like, and is fitted by
-expectation maximisation on at most :data:`TRAIN_ROWS` texts chosen by the hash of their id, equal
-sequences once with their number. Units without words have no label; null and empty texts are never
-flagged; repeated rows stay repeated.
+expectation maximisation on all units of all texts, equal sequences once with their number: every task
+adds up what it expects of its own, and only these sums reach the driver. The prior grows with the texts
+beyond :data:`PRIOR_TEXTS`, so that a larger table of like texts has the same model. Units without words
+have no label; null and empty texts are never flagged; repeated rows stay repeated.
 """
 
 from __future__ import annotations
@@ -32,14 +33,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import shipped
+from quire.session import cut, shipped, stored
 
 PROSE, LINKS, TAGS, MENU, APPARATUS = LABELS = ("prose", "link list", "tag list", "menu", "apparatus")
 SPAM = (1, 2, 3)
 SHAPES = ("sentence", "recurring", "stuffed", "link", "linked sentence", "hashtags", "path", "list", "known list", "short", "known short", "plain", "known plain", "heading", "table", "leader", "reference")
-#: Texts that the model is fitted on, and rounds.
-TRAIN_ROWS = 5_000
+#: Rounds of the fit.
 ROUNDS = 4
+#: Units that a task of the fit handles at once; a longer text is handled by itself.
+TOGETHER = 1 << 18
+#: Decimals of the expected counts that the model is made from, so that the order of sums makes no difference.
+DECIMALS = 6
 #: What each label looks like: shapes by label, in counts out of a hundred.
 PRIOR = {
     PROSE: {"sentence": 79, "recurring": 1, "short": 8, "plain": 4, "heading": 5, "known short": 1, "known plain": 1, "linked sentence": 1},
@@ -48,8 +52,10 @@ PRIOR = {
     MENU: {"path": 90, "known short": 4, "known list": 4, "short": 2},
     APPARATUS: {"table": 30, "leader": 25, "reference": 20, "heading": 12, "short": 6, "plain": 4, "linked sentence": 3},
 }
-#: Weight of the prior against the counts of the sample, and of staying with a label.
+#: Weight of the prior against the counts of the texts, and of staying with a label.
 PRIOR_WEIGHT, STAY = 2000.0, 0.85
+#: Texts up to which the prior has that weight; beyond, it has this share of theirs.
+PRIOR_TEXTS = 5_000
 #: Least mean number of times that a line's words occur outside sentences for the line to be known.
 KNOWN = 3.0
 #: Chance that two words of running text are the same, at most: below 10 words, below 30, below
@@ -197,6 +203,12 @@ def observe(text: str) -> tuple[list[int], list[int]]:
     return shapes, sizes
 
 
+def _advance(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sequences laid end to end, the longest first: lengths, starts, and how many are longer than each step."""
+    lengths = np.array([len(t) for t in texts])
+    return lengths, np.r_[0, np.cumsum(lengths)[:-1]], len(texts) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+
+
 class Model:
     """Start, transition and emission probabilities."""
 
@@ -214,36 +226,49 @@ class Model:
         self.start = np.full(k, 1 / k)
 
     def fit(self, texts: dict[bytes, int], rounds: int = ROUNDS) -> Model:
-        """Expectation maximisation on sequences of shapes with their numbers, held to the prior by its weight.
+        """Expectation maximisation on sequences of shapes with their numbers, held to the prior by its weight."""
+        for _ in range(rounds if texts else 0):
+            self.renew(self.expected(texts))
+        return self
+
+    def expected(self, texts: dict[bytes, int]) -> np.ndarray:
+        """How often each label emits each shape, follows each label (the column is the later one) and starts, side by side.
 
         All sequences advance together, the longest first, so that a step is one matrix product.
         """
-        order = sorted(texts, key=lambda t: (-len(t), t))
+        k = len(LABELS)
+        order = sorted(filter(None, texts), key=lambda t: (-len(t), t))
+        if not order:
+            return np.zeros((k, len(SHAPES) + k + 1))
         weight = np.array([texts[t] for t in order], float)[:, None]
-        longest = len(order[0]) if order else 0
-        at = [np.array([t[i] for t in order[: sum(len(t) > i for t in order)]]) for i in range(longest)]
-        for _ in range(rounds if order else 0):
-            emit, move = self.prior * PRIOR_WEIGHT, self.move0 * PRIOR_WEIGHT
-            ahead, scales = [], []
-            for t, shapes in enumerate(at):
-                x = (ahead[-1][: len(shapes)] @ self.move if t else self.start) * self.emit[:, shapes].T
-                scales.append(x.sum(1, keepdims=True))
-                ahead.append(x / scales[-1])
-            later = np.ones_like(ahead[-1])
-            for t in range(longest - 1, -1, -1):
-                share = ahead[t] * later * weight[: len(later)]
-                np.add.at(emit.T, at[t], share)
-                if t:
-                    inner = self.emit[:, at[t]].T * later / scales[t]
-                    move += self.move * ((ahead[t - 1][: len(inner)] * weight[: len(inner)]).T @ inner)
-                    before = np.ones_like(ahead[t - 1])
-                    before[: len(inner)] = inner @ self.move.T
-                    later = before
-            start = np.ones(len(LABELS)) + share.sum(0)
-            self.emit = emit / emit.sum(1, keepdims=True)
-            self.move = move / move.sum(1, keepdims=True)
-            self.start = start / start.sum()
-        return self
+        lengths, starts, live = _advance(order)
+        shapes = np.frombuffer(b"".join(order), np.uint8)
+        at = [shapes[starts[:n] + t] for t, n in enumerate(live)]
+        ahead, scales, shares, move = [], [], [], np.zeros((k, k))
+        for t, seen in enumerate(at):
+            x = (ahead[-1][: len(seen)] @ self.move if t else self.start) * self.emit.T[seen]
+            scales.append(x.sum(1, keepdims=True))
+            ahead.append(x / scales[-1])
+        later = np.ones_like(ahead[-1])
+        for t in range(lengths[0] - 1, -1, -1):
+            shares.append(ahead[t] * later * weight[: len(later)])
+            if t:
+                inner = self.emit.T[at[t]] * later / scales[t]
+                move += self.move * ((ahead[t - 1][: len(inner)] * weight[: len(inner)]).T @ inner)
+                later = np.ones_like(ahead[t - 1])
+                later[: len(inner)] = inner @ self.move.T
+        seen, share = np.concatenate(at[::-1]), np.concatenate(shares)
+        emit = np.array([np.bincount(seen, share[:, i], len(SHAPES)) for i in range(k)])
+        return np.hstack([emit, move, shares[-1].sum(0)[:, None]])
+
+    def renew(self, expected: np.ndarray) -> None:
+        """The likeliest model for expected counts and the prior."""
+        emit, move, start = np.split(np.round(expected, DECIMALS), [len(SHAPES), len(SHAPES) + len(LABELS)], 1)
+        more = max(1.0, start.sum() / PRIOR_TEXTS)  # each text starts once
+        emit, move, start = emit + self.prior * PRIOR_WEIGHT * more, move + self.move0 * PRIOR_WEIGHT * more, start[:, 0] + more
+        self.emit = emit / emit.sum(1, keepdims=True)
+        self.move = move / move.sum(1, keepdims=True)
+        self.start = start / start.sum()
 
     def words(self, texts: list[tuple[list[int], list[int]]]) -> np.ndarray:
         """Words by label of each text, along the likeliest labels of its units; a long unit is observed as often as it is long.
@@ -251,16 +276,14 @@ class Model:
         All texts advance together, the longest first.
         """
         counts = np.zeros((len(texts), len(LABELS)), np.int64)
-        order = sorted((i for i, (shapes, _) in enumerate(texts) if shapes), key=lambda i: -len(texts[i][0]))
+        order = sorted((i for i, (shapes, _) in enumerate(texts) if len(shapes)), key=lambda i: -len(texts[i][0]))
         if not order:
             return counts
         move, emit = np.log(self.move), np.log(self.emit).T
-        lengths = np.array([len(texts[i][0]) for i in order])
-        starts = np.r_[0, np.cumsum(lengths)[:-1]]
+        lengths, starts, live = _advance([texts[i][0] for i in order])
         shapes = np.concatenate([texts[i][0] for i in order])
         sizes = np.concatenate([texts[i][1] for i in order]).astype(np.int64)
         seen = emit[shapes] * (1 + sizes // UNIT)[:, None]
-        live = len(order) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
         score, back = np.log(self.start) + seen[starts], []
         for t in range(1, lengths[0]):
             k = live[t]
@@ -277,36 +300,58 @@ class Model:
         return counts
 
 
-def train(documents: DataFrame, id_column: str, text: str) -> Model:
-    """A model fitted on a bounded sample of the texts: those with the smallest hashes of their ids."""
-    share = min(1.0, 1.2 * TRAIN_ROWS / max(documents.count(), 1))
-    key = F.pmod(F.xxhash64(id_column), F.lit(1 << 40))
-    chosen = documents.filter(F.col(text).isNotNull() & (key < int(share * (1 << 40)))).select(key.alias("key"), F.col(text).alias("text"))
+def observed(documents: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``id``, and the shapes (a byte each) and sizes (four) of the units of each text that is not null."""
+    kind = documents.schema[id_column].dataType.simpleString()
 
-    def shapes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"key": part["key"], "shapes": [bytes(observe(t)[0][:LONGEST]) for t in part["text"]]})
+            units = [observe(t) for t in part["text"]]
+            yield pd.DataFrame({"id": part["id"], "shapes": [bytes(u) for u, _ in units], "sizes": [np.array(n, np.int32).tobytes() for _, n in units]})
 
-    rows = shipped(chosen).mapInPandas(shapes, "key bigint, shapes binary").filter(F.length("shapes") > 0)
-    return Model().fit(Counter(bytes(r.shapes) for r in rows.orderBy("key", "shapes").limit(TRAIN_ROWS).collect()))
+    rows = documents.filter(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("text"))
+    return shipped(rows).mapInPandas(run, f"id {kind}, shapes binary, sizes binary")
 
 
-#: Units of a text that the fit uses; labels are for all units.
-LONGEST = 400
+def _expect(model: Model):
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, some, units = model.expected({}), {}, 0
+        for part in parts:
+            for shapes, n in zip(part["shapes"], part["n"]):
+                if some and units + len(shapes) > TOGETHER:
+                    total, some, units = total + model.expected(some), {}, 0
+                some[shapes] = n
+                units += len(shapes)
+        yield pd.DataFrame({"expected": [(total + model.expected(some)).ravel()]})
+
+    return run
+
+
+def train(units: DataFrame) -> Model:
+    """A model fitted on all texts, from their shapes; a row for each task reaches the driver in each round."""
+    # The sequences are few bytes, which would be merged into few tasks, but much work.
+    tasks = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = cut(units.filter(F.length("shapes") > 0).groupBy("shapes").agg(F.count("*").alias("n")).repartition(tasks))
+    model = Model()
+    for _ in range(ROUNDS):
+        sums = texts.mapInPandas(_expect(model), "expected array<double>").collect()
+        model.renew(sum((np.array(r.expected) for r in sums), model.expected({}).ravel()).reshape(len(LABELS), -1))
+    return model
 
 
 def labelled(documents: DataFrame, id_column: str, text: str) -> DataFrame:
     """Words by label of each text: the id, a column per label, ``words`` and ``spam_share``."""
-    model = train(documents, id_column, text)
+    units = stored(observed(documents, id_column, text))
+    model = train(units)
     kind = documents.schema[id_column].dataType.simpleString()
     names = [n.replace(" ", "_") for n in LABELS]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({"id": part["id"], **dict(zip(names, model.words([observe(t) for t in part["text"]]).T))})
+            texts = [(np.frombuffer(a, np.uint8), np.frombuffer(b, np.int32)) for a, b in zip(part["shapes"], part["sizes"])]
+            yield pd.DataFrame({"id": part["id"], **dict(zip(names, model.words(texts).T))})
 
-    rows = documents.filter(F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(text).alias("text"))
-    out = shipped(rows).mapInPandas(run, f"id {kind}, " + ", ".join(f"{n} bigint" for n in names))
+    out = units.mapInPandas(run, f"id {kind}, " + ", ".join(f"{n} bigint" for n in names))
     words = sum((F.col(n) for n in names[1:]), F.col(names[0]))
     spam = sum((F.col(names[i]) for i in SPAM[1:]), F.col(names[SPAM[0]]))
     return out.withColumn("words", words).withColumn("spam_share", F.when(words > 0, spam / words).otherwise(0.0)).withColumnRenamed("id", id_column)
