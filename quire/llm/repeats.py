@@ -9,12 +9,15 @@ and where nothing can be saved as incompressible; nothing that has the share ask
 remains is measured exactly: a word is repeated if it lies in a run of :data:`RUN` words that also
 starts earlier in the document. Words are runs of letters in lower case.
 
+The whole is compressed in segments of :data:`SEGMENT` codes. A code that stands in an earlier segment is
+written as zero, so that repetition saves its bytes however far apart it lies.
+
 A document is its rows in reading order, of each place the latest row. It is handled in blocks of
 :data:`BLOCK_PAGES` pages and :data:`BLOCK_PLACES` places. One of a single block is compressed and
-measured where it is put together. Runs of a longer one can repeat across blocks, which no ratio of a
-part shows: its blocks are compressed as chunks, for the figures, and it is always measured. The runs of
-each block are hashed, a block sends each hash once, and the first starts of a hash over all blocks
-decide, so that no task holds a long document.
+measured where it is put together. The codes of a longer one are gathered by segment, and the segments
+are compressed by themselves, with the same figures and band as if it were one block. If it is measured,
+the runs of each block are hashed, a block sends each hash once, and the first starts of a hash over all
+blocks decide, so that no task holds a long document.
 
 Rows without document, and rows whose text is null, are left out; null page or place counts as 0. A
 document without words has share 0. Extra columns of the input are ignored.
@@ -23,6 +26,7 @@ document without words has share 0. Extra columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -43,9 +47,12 @@ BLOCK_PLACES = 4096
 #: Words to a code, and codes to a chunk.
 CODED = 6
 CHUNK = 1024
-#: Bytes that a match takes up at most, and a document besides its codes.
-MATCH_BYTES, FRAME_BYTES = 8, 24
-#: Bytes up to which all of a document is in the compressor's window; longer ones are always measured.
+#: Codes to a segment.
+SEGMENT = 1 << 18
+#: Bytes that a match takes up at most, a segment besides its codes, and what is saved less where two
+#: segments meet: a run may be cut by the seam, or be one of six that begin before it and end behind it.
+MATCH_BYTES, FRAME_BYTES, SEAM_BYTES = 8, 24, 64
+#: Size of the compressor's window, which holds a segment.
 WINDOW_LOG = 26
 # The search inserts every position, so that no repeated run is passed over.
 SEARCH = {"strategy": zstandard.STRATEGY_BTOPT, "window_log": WINDOW_LOG, "chain_log": 25, "hash_log": 22, "search_log": 4, "min_match": 4, "target_length": 32}
@@ -101,31 +108,53 @@ def repeated_share(text: str) -> float:
     return _covered(_later(_hash_runs(hashes))) / max(len(hashes), 1)
 
 
-def limit(codes: int) -> float:
+def limit(codes: int, segments: int = 1) -> float:
     """The ratio that a document of so many codes has at least if :data:`SHARE` of its words are repeated.
 
     Every RUN repeated words hold RUN - CODED + 1 codes that stand earlier in the same order, one match.
     """
     saved = SHARE * (codes + CODED - 1) * (4 * (RUN - CODED + 1) - MATCH_BYTES) / RUN
-    return 4 * codes / (4 * codes - saved + FRAME_BYTES)
+    return 4 * codes / (4 * codes - saved + FRAME_BYTES * segments + SEAM_BYTES * (segments - 1))
 
 
 def packer() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(**SEARCH))
 
 
-def compression(hashes: np.ndarray, pack: zstandard.ZstdCompressor) -> tuple[int, int, float, float, str]:
-    """Bytes of codes, compressed bytes, ratio of the whole, largest ratio of a chunk, and the band, from the words' hashes."""
-    codes = (_hash_runs(hashes, CODED) >> np.uint64(13)).astype(np.uint32)
-    n = len(codes)
-    if len(hashes) <= RUN:
+def _pack(codes: np.ndarray, known: np.ndarray | None, pack: zstandard.ZstdCompressor) -> tuple[int, int, float, bool]:
+    """Of a segment: codes, compressed bytes without those ``known`` from earlier ones, largest ratio of a chunk, and whether one is at its limit."""
+    short = (codes >> np.uint64(13)).astype(np.uint32)
+    n = len(short)
+    new = short if known is None else np.where(known, np.uint32(0), short)
+    size = len(pack.compress(new.tobytes()))
+    chunks = [short[i : i + CHUNK] for i in range(0, n, CHUNK)]
+    packed = [size] if n <= CHUNK and known is None else [len(pack.compress(c.tobytes())) for c in chunks]
+    rated = [(4 * len(c) / k, limit(len(c))) for c, k in zip(chunks, packed)]
+    return n, size, max(r for r, _ in rated), any(r >= most for r, most in rated)
+
+
+def _rated(words: int, segments: list[tuple[int, int, float, bool]]) -> tuple[int, int, float, float, str]:
+    """Bytes of codes, compressed bytes, ratio of the whole, largest ratio of a chunk, and the band, from the segments."""
+    n = max(words - CODED + 1, 0)
+    if words <= RUN:
         return 4 * n, 4 * n, 1.0, 1.0, PLAIN
-    size = len(pack.compress(codes.tobytes()))
+    size = sum(s[1] for s in segments)
     ratio = 4 * n / size
-    chunks = [codes[i : i + CHUNK] for i in range(0, n, CHUNK)] if n > CHUNK else []
-    rated = [(4 * len(c) / len(pack.compress(c.tobytes())), limit(len(c))) for c in chunks] or [(ratio, limit(n))]
-    over = ratio >= limit(n) or 4 * n > 1 << WINDOW_LOG or any(r >= most for r, most in rated)
-    return 4 * n, size, ratio, max(r for r, _ in rated), REPETITIVE if over else PLAIN if ratio > 1 else DENSE
+    over = ratio >= limit(n, len(segments)) or any(s[3] for s in segments)
+    return 4 * n, size, ratio, max(s[2] for s in segments), REPETITIVE if over else PLAIN if ratio > 1 else DENSE
+
+
+def compression(hashes: np.ndarray, pack: zstandard.ZstdCompressor, segment: int = SEGMENT) -> tuple[int, int, float, float, str]:
+    """Bytes of codes, compressed bytes, ratio of the whole, largest ratio of a chunk, and the band, from the words' hashes."""
+    codes = _hash_runs(hashes, CODED)
+    if len(hashes) <= RUN:
+        return _rated(len(hashes), [])
+    starts = range(0, len(codes), segment)
+    if len(starts) == 1:
+        return _rated(len(hashes), [_pack(codes, None, pack)])
+    _, first, which = np.unique(codes, return_index=True, return_inverse=True)
+    known = first[which] // segment < np.arange(len(codes)) // segment
+    return _rated(len(hashes), [_pack(codes[i : i + segment], known[i : i + segment], pack) for i in starts])
 
 
 def blocks(rows: DataFrame, block: Column) -> DataFrame:
@@ -142,14 +171,14 @@ def _place() -> tuple[Column, Column]:
     return F.coalesce(F.col("page_number"), F.lit(0)), F.coalesce(F.col("seq"), F.lit(0))
 
 
-def _measure(measure_all: bool):
+def _measure(measure_all: bool, segment: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, pack = _Hashes(), packer()
         for part in parts:
             out = []
             for doc, text in zip(part["doc"], part["text"]):
                 hashes = _hash_words(words_of(text), known)
-                size, _, ratio, chunk, band = compression(hashes, pack)
+                size, _, ratio, chunk, band = compression(hashes, pack, segment)
                 share = None
                 if measure_all or band == REPETITIVE:
                     share = _covered(_later(_hash_runs(hashes))) / max(len(hashes), 1)
@@ -164,21 +193,51 @@ _SCHEMA = "doc string, words bigint, bytes bigint, ratio double, chunk_ratio dou
 
 
 def _heads(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known, pack = _Hashes(), packer()
     for part in parts:
         found = [words_of(t) for t in part["text"]]
-        packed = [compression(_hash_words(w, known), pack) for w in found]
-        yield pd.DataFrame(
-            {
-                "doc": part["doc"],
-                "block": part["block"],
-                "n": [len(w) for w in found],
-                "head": [w[: RUN - 1] for w in found],
-                "bytes": [p[0] for p in packed],
-                "packed": [p[1] for p in packed],
-                "chunk_ratio": [p[3] for p in packed],
-            }
-        )
+        yield pd.DataFrame({"doc": part["doc"], "block": part["block"], "n": [len(w) for w in found], "head": [w[: RUN - 1] for w in found]})
+
+
+def _pieces(segment: int):
+    """The codes of each block, cut where a segment of the document begins."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Hashes()
+        for part in parts:
+            for doc, text, offset, tail in zip(part["doc"], part["text"], part["offset"], part["tail"]):
+                words = words_of(text)
+                codes = _hash_runs(_hash_words(words + list(tail)[: CODED - 1], known), CODED)[: len(words)]
+                cuts = [0, *range(segment - offset % segment, len(codes), segment), len(codes)]
+                found = [(doc, (offset + a) // segment, offset + a, codes[a:b].tobytes()) for a, b in pairwise(cuts) if a < b]
+                yield pd.DataFrame(found, columns=["doc", "segment", "start", "codes"])
+
+    return run
+
+
+def _different(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        for doc, segment, codes in zip(part["doc"], part["segment"], part["codes"]):
+            yield pd.DataFrame({"doc": doc, "segment": segment, "code": np.unique(np.frombuffer(b"".join(codes), np.int64))})
+
+
+def _packs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pack = packer()
+    for part in parts:
+        out = []
+        for doc, codes, known in zip(part["doc"], part["codes"], part["known"]):
+            found = np.frombuffer(b"".join(codes), np.uint64)
+            earlier = None if known is None else np.isin(found.view(np.int64), np.asarray(known, np.int64))
+            out.append((doc, *_pack(found, earlier, pack)))
+        yield pd.DataFrame(out, columns=["doc", "n", "packed", "chunk_ratio", "over"])
+
+
+def _bands(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in parts:
+        out = []
+        for doc, words, segments in zip(part["doc"], part["words"], part["segments"]):
+            size, _, ratio, chunk, band = _rated(words, [(s["n"], s["packed"], s["chunk_ratio"], s["over"]) for s in segments])
+            out.append((doc, words, size, ratio, chunk, band))
+        yield pd.DataFrame(out, columns=_COLUMNS[:-1])
 
 
 def _runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,14 +254,32 @@ def _runs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc": doc, "block": block, "run": runs[once].view(np.int64), "start": once + offset, "own": None})
 
 
-def _long(texts: DataFrame) -> DataFrame:
-    """Words and exact share of documents of several blocks."""
-    counts = cut(shipped(texts).mapInPandas(_heads, "doc string, block bigint, n bigint, head array<string>, bytes bigint, packed bigint, chunk_ratio double"))
+def _figures(texts: DataFrame, placed: DataFrame, counts: DataFrame) -> DataFrame:
+    """Words, compression and band of documents of several blocks."""
+    codes = texts.join(placed, ["doc", "block"]).mapInPandas(_pieces(SEGMENT), "doc string, segment bigint, start bigint, codes binary")
+    pieces = F.sort_array(F.collect_list(F.struct("start", "codes")))
+    segments = stored(codes.groupBy("doc", "segment").agg(F.transform(pieces, lambda x: x.codes).alias("codes")))
+    several = segments.filter("segment > 0").select("doc").distinct()
+    different = join_small(segments, several, "doc", "left_semi").mapInPandas(_different, "doc string, segment bigint, code bigint")
+    first = F.min("segment").over(Window.partitionBy("doc", "code"))
+    known = different.withColumn("first", first).filter("segment > first").groupBy("doc", "segment").agg(F.collect_list("code").alias("known"))
+    packs = segments.join(known, ["doc", "segment"], "left").mapInPandas(_packs, "doc string, n bigint, packed bigint, chunk_ratio double, over boolean")
+    listed = packs.groupBy("doc").agg(F.collect_list(F.struct("n", "packed", "chunk_ratio", "over")).alias("segments"))
+    words = counts.groupBy("doc").agg(F.sum("n").alias("words")).join(listed, "doc", "left")
+    return cut(words.withColumn("segments", F.coalesce("segments", F.array())).mapInPandas(_bands, _SCHEMA.rsplit(",", 1)[0]))
+
+
+def _long(texts: DataFrame, measure_all: bool) -> DataFrame:
+    """As :func:`repetition`, of documents of several blocks."""
+    counts = cut(shipped(texts).mapInPandas(_heads, "doc string, block bigint, n bigint, head array<string>"))
     every, counts = counts, counts.filter("n > 0")
     order = Window.partitionBy("doc").orderBy("block")
     ahead = F.flatten(F.collect_list("head").over(order.rowsBetween(1, RUN - 1)))
-    placed = counts.select("doc", "block", "n", (F.sum("n").over(order) - F.col("n")).alias("offset"), F.slice(ahead, 1, RUN - 1).alias("tail"))
-    runs = texts.join(placed.select("doc", "block", "offset", "tail"), ["doc", "block"]).mapInPandas(_runs, "doc string, block bigint, run bigint, start bigint, own array<bigint>")
+    placed = counts.select("doc", "block", (F.sum("n").over(order) - F.col("n")).alias("offset"), F.slice(ahead, 1, RUN - 1).alias("tail"))
+    figures = _figures(texts, placed, every)
+    chosen = figures if measure_all else figures.filter(F.col("band") == REPETITIVE)
+    placed = join_small(placed, chosen.select("doc"), "doc", "left_semi")
+    runs = texts.join(placed, ["doc", "block"]).mapInPandas(_runs, "doc string, block bigint, run bigint, start bigint, own array<bigint>")
     first = F.min("start").over(Window.partitionBy("doc", "run"))
     across = runs.filter(F.col("run").isNotNull()).withColumn("first", first).filter("start > first").select("doc", "block", F.array("start").alias("own"))
     starts = across.unionByName(runs.filter(F.col("run").isNull()).select("doc", "block", "own"))
@@ -211,24 +288,22 @@ def _long(texts: DataFrame) -> DataFrame:
     inner = F.when(F.size("s") > 1, gaps).otherwise(0)
     to_next = F.lead(F.get("s", F.lit(0))).over(order) - F.element_at("s", -1)
     covered = listed.select("doc", (inner + F.least(F.coalesce(to_next, F.lit(RUN)), F.lit(RUN))).alias("c")).groupBy("doc").agg(F.sum("c").alias("covered"))
-    totals = every.groupBy("doc").agg(F.sum("n").alias("words"), F.sum("bytes").alias("bytes"), F.sum("packed").alias("packed"), F.max("chunk_ratio").alias("chunk_ratio"))
     share = F.when(F.col("words") > 0, F.coalesce("covered", F.lit(0)) / F.col("words")).otherwise(0.0)
-    ratio = F.when(F.col("packed") > 0, F.col("bytes") / F.col("packed")).otherwise(1.0)
-    return totals.join(covered, "doc", "left").select("doc", "words", "bytes", ratio.alias("ratio"), "chunk_ratio", F.lit(REPETITIVE).alias("band"), share.alias("share"))
+    measured = F.lit(True) if measure_all else F.col("band") == REPETITIVE
+    return figures.join(covered, "doc", "left").select(*_COLUMNS[:-1], F.when(measured, share).alias("share"))
 
 
 def repetition(elements: DataFrame, measure_all: bool = False) -> DataFrame:
     """One row per document: ``doc``, ``words``, ``bytes``, ``ratio``, ``chunk_ratio``, ``band``, ``share``.
 
-    ``share`` is null for documents outside the repetitive band, unless ``measure_all``. The ratio of
-    documents of several blocks is that of their blocks together; they are always measured.
+    ``share`` is null for documents outside the repetitive band, unless ``measure_all``.
     """
     rows = elements.filter(F.col("doc").isNotNull() & F.col("text").isNotNull()).select("element_id", "doc", "page_number", "seq", "extracted_at", "text")
     page, seq = _place()
     pages = F.floor(page / BLOCK_PAGES)
     spans = rows.groupBy("doc").agg(F.min(pages).alias("a"), F.max(pages).alias("b"), (F.max(seq) >= BLOCK_PLACES).alias("deep"))
     several = cut(spans.filter("a < b or deep").select("doc", "deep"))
-    short = shipped(blocks(join_small(rows, several.select("doc"), "doc", "left_anti"), F.lit(0))).mapInPandas(_measure(measure_all), _SCHEMA)
+    short = shipped(blocks(join_small(rows, several.select("doc"), "doc", "left_anti"), F.lit(0))).mapInPandas(_measure(measure_all, SEGMENT), _SCHEMA)
     # Pages with very many places are blocks of their own, in parts.
     part = F.when(F.col("deep"), F.shiftleft(page.cast("bigint"), 24) + F.floor(seq / BLOCK_PLACES)).otherwise(pages)
-    return short.unionByName(_long(stored(blocks(join_small(rows, several, "doc"), part))))
+    return short.unionByName(_long(stored(blocks(join_small(rows, several, "doc"), part)), measure_all))

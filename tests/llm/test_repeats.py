@@ -134,3 +134,56 @@ def test_one_page_with_very_many_places(spark, monkeypatch):
 def test_very_long_text():
     assert repeated_share("tick tock " * 300_000) > 0.99
     assert repeated_share("ONE two THREE four " * 3) == 0.0
+
+
+@pytest.mark.parametrize("segment", [1 << 18, 100])
+def test_the_number_of_pages_decides_nothing(spark, monkeypatch, segment):
+    """All figures and the band of a document are those of its words, however many blocks it is handled in."""
+    rnd = random.Random(11)
+    fresh = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(n))
+    pool = [fresh(14) for _ in range(4)]
+    docs = {
+        "noise": [(i, fresh(15)) for i in range(160)],
+        "little": [(i, pool[0] if i % 20 == 3 else fresh(20)) for i in range(160)],
+        "much": [(i, rnd.choice(pool) if i % 2 else fresh(9)) for i in range(160)],
+        "far": [(i, t) for i, t in enumerate([fresh(15) for _ in range(60)] * 2)],
+        "few": [(i * 70, "a b c d") for i in range(3)],
+        "short": [(i * 70, "a b c d e") for i in range(3)],
+        "none": [(1, "12"), (99, "")],
+        "page": [(1, fresh(30))],
+    }
+    monkeypatch.setattr(repeats, "SEGMENT", segment, raising=False)
+    for measure_all in (False, True):
+        got = []
+        for pages in (64, 10**6) if measure_all else (64, 3, 10**6):
+            monkeypatch.setattr(repeats, "BLOCK_PAGES", pages)
+            got.append(sorted(repetition(table(spark, docs), measure_all).collect()))
+        assert got[0] == got[1] == got[-1] and [r.doc for r in got[0]] == sorted(docs)
+    monkeypatch.setattr(repeats, "BLOCK_PAGES", 64)
+    found = {r.doc: (r.band, r.share) for r in repetition(table(spark, docs)).collect()}
+    if segment > 100:
+        assert found["noise"] == (repeats.DENSE, None) and found["little"] == (repeats.PLAIN, None)
+    assert found["much"][0] == found["far"][0] == repeats.REPETITIVE and found["far"][1] == pytest.approx(0.5)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_repetition_across_segments_is_seen(seed):
+    """The whole ratio alone is at the limit, though what is repeated lies segments apart or over a seam."""
+    rnd = random.Random(seed)
+    segment, run = 4096, (12, 13, 40, 5000)[seed % 4]
+    words = [rnd.randrange(10**12) for _ in range(20_000)]
+    while len(words) < 40_000:
+        at = rnd.randrange(15_000 if seed % 3 else len(words) - run)
+        words += words[at : at + run] + [rnd.randrange(10**12) for _ in range(run * rnd.randrange(2) // 2)]
+    seen, marked = set(), set()
+    for i in range(len(words) - RUN + 1):
+        k = tuple(words[i : i + RUN])
+        if k in seen:
+            marked.update(range(i, i + RUN))
+        seen.add(k)
+    n = len(words) - repeats.CODED + 1
+    hashes = repeats._hash_words([f"w{w}" for w in words], repeats._Hashes())
+    _, _, ratio, _, band = repeats.compression(hashes, repeats.packer(), segment)
+    assert len(marked) > 0.25 * len(words) and ratio >= repeats.limit(n, -(-n // segment)) and band == repeats.REPETITIVE
+    noise = repeats._hash_words([f"n{rnd.randrange(10**12)}" for _ in range(40_000)], repeats._Hashes())
+    assert repeats.compression(noise, repeats.packer(), segment)[2] <= 1
